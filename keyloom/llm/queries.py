@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import block_names, curriculum, packing, shared, token_store
+from keyloom.llm import block_names, curriculum, line_dedup, near_dup, packing, quality, sanitise, shared, token_store
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_groups(shared.table(spark, sf_dir, "documents"), words_each=2, percent=80)
 
 
 def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +24,26 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_groups(shared.table(spark, sf_dir, "documents"))
 
 
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sanitise.sanitise(shared.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op7_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     packed = packing.pack(shared.table(spark, sf_dir, "documents"), path, longest=1024, end_id=0, with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(shared.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.new_path(spark, "token-store")
     token_store.write(shared.table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -35,9 +53,13 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_near_dedup,
         op4_mix_to_targets,
         op5_exact_dedup,
+        op6_disclosure,
         op7_pack_binary,
+        op8_line_dedup,
+        op9_quality,
         op10_token_store,
     )
 }

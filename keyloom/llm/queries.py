@@ -8,7 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import block_names, curriculum, line_dedup, near_dup, packing, quality, sanitise, shared, token_store
+from keyloom.llm import block_names, curriculum, line_dedup, media, near_dup, packing, quality, sanitise, shared, token_store
+
+
+def op2_progressive_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.media_columns(shared.table(spark, sf_dir, "documents"), with_media=False)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +58,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_progressive_media,
         op3_near_dedup,
         op4_mix_to_targets,
         op5_exact_dedup,

@@ -56,14 +56,27 @@ def store(payloads: list[bytes]) -> list[bytes]:
     return [b"".join(x) for x in out]
 
 
+#: Where one frame of this coder ends and the next begins; it stands nowhere inside a frame.
+_SEAM = b"\xff\xd9\xff\xd8\xff\xfe"
+
+
+def _frames(file: bytes) -> list[bytes]:
+    cut = file.split(_SEAM)
+    return [(_SEAM[2:] if i else b"") + x + (_SEAM[:2] if i < len(cut) - 1 else b"") for i, x in enumerate(cut)]
+
+
 def read(files: list[bytes]) -> list[tuple[bytes, list[np.ndarray]]]:
     """(payload, RGB tensor of each frame) of each stored form."""
-    coef, frames = progressive.decode(files)
-    out = []
-    for own in frames:
-        raw = [(coef[f.first : f.first + f.n_bytes // 64] + 128).astype(np.uint8).tobytes() for f in own]
-        out.append((b"".join(raw), [progressive.rgb(coef, f) for f in own]))
-    return out
+    cut = [_frames(f) for f in files]
+    frames = [x for own in cut for x in own]
+    raw, tensors = [], []
+    for a, b in _groups(frames, BATCH_BYTES):
+        coef, parsed = progressive.decode(frames[a:b])
+        for (f,) in parsed:
+            raw.append((coef[f.first : f.first + f.n_bytes // 64] + 128).astype(np.uint8).tobytes())
+            tensors.append(progressive.rgb(coef, f))
+    ends = np.cumsum([len(own) for own in cut]).tolist()
+    return [(b"".join(raw[a:b]), tensors[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
 
 
 def feature(tensors: list[np.ndarray]) -> str:
@@ -99,12 +112,11 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for a, b in _groups(held, BATCH_BYTES):
                 rows = []
                 files = store(held[a:b])
-                for x, y in _groups(files, BATCH_BYTES):
-                    for i, (raw, tensors) in enumerate(read(files[x:y])):
-                        media, n = files[x + i], len(texts[a + x + i].encode("utf-8", "surrogatepass"))
-                        rows.append([n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(tensors)])
-                        if with_media:
-                            rows[-1] += [media, [{"height": t.shape[0], "width": t.shape[1], "rgb": t.tobytes()} for t in tensors]]
+                for text, media, (raw, tensors) in zip(texts[a:b], files, read(files)):
+                    n = len(text.encode("utf-8", "surrogatepass"))
+                    rows.append([n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(tensors)])
+                    if with_media:
+                        rows[-1] += [media, [{"height": t.shape[0], "width": t.shape[1], "rgb": t.tobytes()} for t in tensors]]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=schema.names)
 

@@ -64,28 +64,30 @@ def _unit_order(cols: int, rows: int) -> np.ndarray:
     return np.concatenate([y, np.stack([first + r * cols + c, first + cols * rows + r * cols + c], 1)], 1).ravel()
 
 
+#: Size and extra bits of each signed value from -256 to 255.
+_VALUES = np.arange(-256, 256)
+_SIZE = np.array([abs(v).bit_length() for v in range(-256, 256)])
+_EXTRA = np.where(_VALUES < 0, _VALUES + (1 << _SIZE) - 1, _VALUES)
+
+
 def _bits_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(size, extra bits) of signed values."""
-    a = np.abs(v)
-    size = np.zeros(len(v), np.int64)
-    for n in range(9):
-        size += a >= 1 << n
-    return size, np.where(v < 0, v + (1 << size) - 1, v)
+    return _SIZE[v + 256], _EXTRA[v + 256]
 
 
 def _packed(value: np.ndarray, n_bits: np.ndarray, lane: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of up to 24 bits into bytes; each lane starts at a byte and is filled up with
+    """Tokens of up to 17 bits into bytes; each lane starts at a byte and is filled up with
     ones. Returns (bytes, end of each lane)."""
     bits = np.bincount(lane, n_bits, lanes).astype(np.int64)
     n_bytes = -(-bits // 8)
     ends = np.cumsum(n_bytes)
     start = ends - n_bytes
     at = np.cumsum(n_bits) - n_bits + (start * 8 - (np.cumsum(bits) - bits))[lane]
-    word, byte = value << (32 - n_bits - (at & 7)), at >> 3
-    out = np.zeros(int(ends[-1]) + 4 if lanes else 4)
-    for j in range(4):
-        out += np.bincount(byte + j, (word >> (24 - 8 * j)) & 255, len(out))
-    out = out[:-4].astype(np.uint8)
+    word, byte = value << (24 - n_bits - (at & 7)), at >> 3
+    out = np.zeros(int(ends[-1]) + 3 if lanes else 3)
+    for j in range(3):
+        out += np.bincount(byte + j, (word >> (16 - 8 * j)) & 255, len(out))
+    out = out[:-3].astype(np.uint8)
     used = n_bytes > 0
     out[ends[used] - 1] += ((1 << (n_bytes * 8 - bits)) - 1)[used].astype(np.uint8)
     return out, ends
@@ -103,18 +105,26 @@ def _segments(raw: np.ndarray, ends: np.ndarray, nth: np.ndarray, last: np.ndarr
     return out.tobytes(), ends + added
 
 
+#: Code and extra bits together of a value that follows no zeros.
+_FIRST_TOKEN, _FIRST_BITS = _AC[0][_SIZE] << _SIZE | _EXTRA, _AC[1][_SIZE] + _SIZE
+
+
 def _first_pass(coef: np.ndarray, low: int, high: int, block_lane: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens (value, bits, lane) of a band's first pass, the lowest bit left out."""
-    v = coef[:, low : high + 1].astype(np.int64)
+    v = coef[:, low : high + 1]
     v = np.sign(v) * (np.abs(v) >> 1)
-    block, k = np.nonzero(v)
-    value = v[block, k]
-    new_block = np.concatenate([[True], block[1:] != block[:-1]]) if len(block) else np.zeros(0, bool)
-    run = k - np.where(new_block, 0, np.concatenate([[0], k[:-1] + 1])[: len(k)])
-    size, extra = _bits_of(value)
+    at = np.flatnonzero(v)
+    width = high - low + 1
+    block, k = at // width, at % width
+    run = np.diff(at, prepend=-1) - 1
+    run = np.where(run > k, k, run)
+    value = v.ravel()[at] + 256
     code, length, _ = _AC
-    symbol = (run % 16) << 4 | size
-    token, n_bits = code[symbol] << size | extra, length[symbol] + size
+    token, n_bits = _FIRST_TOKEN[value], _FIRST_BITS[value]
+    late = np.flatnonzero(run)
+    size = _SIZE[value[late]]
+    symbol = (run[late] % 16) << 4 | size
+    token[late], n_bits[late] = code[symbol] << size | _EXTRA[value[late]], length[symbol] + size
     count = np.bincount(block, minlength=len(v))
     through = np.cumsum(count)
     ends_early = np.ones(len(v), bool)

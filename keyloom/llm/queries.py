@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import block_names, curriculum, line_dedup, media, near_dup, packing, quality, sanitise, shared, token_store
+from keyloom.llm import block_names, curriculum, html_text, line_dedup, media, near_dup, packing, quality, sanitise, shared, token_store
+
+
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.summary(shared.table(spark, sf_dir, "pages"))
 
 
 def op2_progressive_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +62,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_main_text,
         op2_progressive_media,
         op3_near_dedup,
         op4_mix_to_targets,

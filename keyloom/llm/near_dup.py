@@ -9,7 +9,7 @@ Documents with equal shingle sets form one class. Classes that share a band of t
 are candidates. In a large bucket not all pairs are tried: its members are first held against
 one leader, by exact intersection of the full sets; links so found make components; and only
 members that are still in different components meet in further rounds, the last of which tries
-every such pair. So the components are those of all candidate pairs.
+every such pair that shares two bands. So the components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -26,12 +26,11 @@ from pyspark.sql import types as T
 from keyloom.llm import shared, tokens, words
 
 U = np.uint64
-#: 40 bands of 5 coordinates: a pair at similarity 0.8 is missed with probability
-#: (1 - 0.8**5)**40 = 1.2e-7, and less above.
-BANDS, ROWS = 40, 5
-#: Rounds with one leader a bucket go on while this many pairs a candidate class would be left.
-PAIRS_LEFT = 4
-LEADER_ROUNDS = 6
+#: 40 bands of 5 coordinates: a pair at similarity 0.8 shares fewer than ``SHARED`` = 2 bands
+#: with probability 2.5e-6, one at 0.85 with 2e-9.
+BANDS, ROWS, SHARED = 40, 5, 2
+#: Rounds with one leader a bucket go on while they link one in so many candidate classes.
+LEADERS_GAIN, LEADER_ROUNDS = 50, 4
 
 
 def sketches(sets: list[np.ndarray], size: int) -> np.ndarray:
@@ -183,7 +182,7 @@ def near_groups(
     n_active = sets.count()
 
     fits = F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent
-    edges, comp = None, None
+    comp = None
     open_members = member.withColumn("comp", F.col("node"))
     for nth in range(LEADER_ROUNDS):
         order = F.xxhash64(F.lit(nth), "node")
@@ -191,21 +190,24 @@ def near_groups(
         pairs = open_members.join(leaders, "band").where((F.col("comp") != F.col("comp_b")) & fits)
         pairs = pairs.select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
         found = shared.keep(_verified(pairs, sets, percent), "links")
-        edges = found if edges is None else edges.union(found)
+        edges = found if comp is None else comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)
         comp = components(edges)
         open_members = member.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # Pairs of one bucket in different components: all of its pairs less those within one.
-        sizes = open_members.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q")).where("s * s > q")
-        open_members = shared.keep(open_members.join(sizes.select("band"), "band"), "open-members")
-        left = sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-        if left <= PAIRS_LEFT * max(n_active, 1000) * 10 or found.isEmpty():
+        mixed = open_members.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
+        open_members = shared.keep(open_members.join(mixed, "band"), "open-members")
+        if found.count() * LEADERS_GAIN < n_active:
             break
-    other = open_members.select("band", F.col("node").alias("a"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    pairs = open_members.join(other, "band").where((F.col("comp") < F.col("comp_b")) & fits)
-    pairs = pairs.select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
+    # In each bucket the members of all components but its largest meet all members: pairs
+    # within a component, above all those of the largest, never arise.
+    sizes = open_members.groupBy("band", "comp").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"))
+    marked = shared.keep(open_members.join(largest, "band"), "open-members")
+    others = marked.where("comp != most").select("band", F.col("node").alias("a"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+    pairs = others.join(marked, "band").where(((F.col("comp") == F.col("most")) | (F.col("comp") < F.col("comp_b"))) & fits)
+    pairs = pairs.groupBy(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).agg(F.count("*").alias("bands")).where(F.col("bands") >= SHARED).select("a", "b")
     last = shared.keep(_verified(pairs, sets, percent), "links")
     if not last.isEmpty():
-        comp = components(edges.union(last))
+        comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(last))
 
     labelled = classes.select("set_key", "node", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))

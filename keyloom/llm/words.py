@@ -18,7 +18,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def keys(n: int, seed: int) -> np.ndarray:
     """n fixed random 64-bit integers."""
-    return mix((np.arange(1, n + 1, dtype=U) + U(seed) * U(0x632BE59BD9B4E019)) * U(0x9E3779B97F4A7C15))
+    return mix((np.arange(1, n + 1, dtype=U) + U(seed * 0x632BE59BD9B4E019 % 2**64)) * U(0x9E3779B97F4A7C15))
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -43,9 +43,9 @@ def _filed(edits: int) -> list[Column]:
     return out
 
 
-def _sought(edits: int) -> list[Column]:
-    """Hashes of a line's substrings that a segment of a line as long or shorter could be; null
-    where a place lies outside."""
+def _sought(edits: int) -> list[tuple[int, Column]]:
+    """(how much shorter, hash) of a line's substrings that a segment of a line as long or
+    shorter could be; null where a place lies outside."""
     n, parts, out = F.col("n"), edits + 1, []
     for shorter in range(parts):
         for i in range(parts):
@@ -54,7 +54,7 @@ def _sought(edits: int) -> list[Column]:
             high = min(i, shorter + (edits - i))
             for moved in range(low, high + 1):
                 inside = (start + moved >= 1) & (start + moved + size - 1 <= n)
-                out.append(F.when(inside, F.xxhash64(n - shorter, F.lit(i), F.substring("line", start + moved, size))))
+                out.append((shorter, F.when(inside, F.xxhash64(n - shorter, F.lit(i), F.substring("line", start + moved, size)))))
     return out
 
 
@@ -116,11 +116,14 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def similar_lines(lines: DataFrame, edits: int) -> DataFrame:
     """Pairs (x1, x2), (y1, y2) of hashes of different lines within the edits, each pair once."""
-    keys = F.array(*(F.struct(F.lit(0).alias("sought"), k.alias("key")) for k in _filed(edits)), *(F.struct(F.lit(1).alias("sought"), k.alias("key")) for k in _sought(edits)))
-    marks = lines.select("h1", F.explode(keys).alias("k")).select("k.key", "k.sought", "h1").where("key IS NOT NULL").distinct()
-    filed = marks.where("sought = 0").select("key", F.col("h1").alias("x"))
-    sought = marks.where("sought = 1").select("key", F.col("h1").alias("y"))
-    pairs = filed.join(sought, "key").where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # Of two lines of one length each would find the other; only the one with the greater hash
+    # seeks. Marks: 0 filed, 1 sought among equally long lines, 2 among shorter ones.
+    marks = [(0, k) for k in _filed(edits)] + [(2 if shorter else 1, k) for shorter, k in _sought(edits)]
+    keys = F.array(*(F.struct(F.lit(m).alias("mark"), k.alias("key")) for m, k in marks))
+    marked = lines.select("h1", F.explode(keys).alias("k")).select("k.key", "k.mark", "h1").where("key IS NOT NULL").distinct()
+    filed = marked.where("mark = 0").select("key", F.col("h1").alias("x"))
+    sought = marked.where("mark > 0").select("key", "mark", F.col("h1").alias("y"))
+    pairs = filed.join(sought, "key").where("x < y OR (x > y AND mark = 2)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pairs = shared.keep(pairs, "line-pairs")
     wanted = shared.keep(pairs.select(F.col("x").alias("h1")).union(pairs.select("y")).distinct(), "lines-wanted")
     if wanted.count() <= BROADCAST_LINES:
@@ -152,9 +155,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS,
     later = F.when(F.col("first_x") > F.col("first_y"), F.struct(F.col("x1").alias("h1"), F.col("x2").alias("h2"))).otherwise(F.struct(F.col("y1").alias("h1"), F.col("y2").alias("h2")))
     late = shared.keep(met.select(later.alias("l")).select("l.h1", "l.h2").distinct().withColumn("late", F.lit(True)), "late-lines")
     fate = shared.keep(firsts.join(late, ["h1", "h2"], "left"), "line-fates")
-    places = long.select("doc_id", "version", "at", "h1", "h2").join(fate, ["h1", "h2"])
-    places = places.select("doc_id", "version", "at", (F.col("late").isNotNull() | ~F.struct("doc_id", "at").eqNullSafe(F.col("first"))).alias("drop"))
-    places = places.union(lines.where(F.col("n") < min_chars).select("doc_id", "version", "at", F.lit(False)))
+    # Shorter lines are in no fate and stay.
+    places = lines.select("doc_id", "version", "at", "h1", "h2").join(fate, ["h1", "h2"], "left")
+    drop = F.col("first").isNotNull() & (F.col("late").isNotNull() | ~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
+    places = places.select("doc_id", "version", "at", drop.alias("drop"))
     flags = places.groupBy(F.col("doc_id").alias("_of"), F.col("version").alias("_version")).agg(F.sort_array(F.collect_set(F.struct("at", "drop"))).alias("f"))
     flags = flags.select("_of", "_version", F.col("f.drop").alias("_flags"))
     left = F.zip_with(F.split(docs[text_col], "\n"), F.col("_flags"), lambda line, drop: F.when(~drop, line))

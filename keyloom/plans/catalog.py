@@ -125,10 +125,10 @@ def holder_interval_join(spark, d):
     return partitions.assign(log, holders)
 
 
-@query(f"""WITH {LOG}, p AS (SELECT DISTINCT vdisk_id, {DAY} AS start_ts FROM log WHERE key % 3 = 0), g AS (SELECT vdisk_id, lead(start_ts, 1, 1707000000) OVER (PARTITION BY vdisk_id ORDER BY start_ts) - start_ts AS gap FROM p)
+@query(f"""WITH {LOG}, p AS (SELECT DISTINCT vdisk_id, {DAY} AS start_ts FROM log), g AS (SELECT vdisk_id, lead(start_ts, 1, 1707000000) OVER (PARTITION BY vdisk_id ORDER BY start_ts) - start_ts AS gap FROM p)
     SELECT vdisk_id, max(gap) AS max_gap, 2 * greatest(max(gap), 86400) + 1 AS step FROM g GROUP BY vdisk_id""")
 def partition_gap_step(spark, d):
-    starts = _log(spark, d).where("key % 3 = 0").select("vdisk_id", _day().alias("start_ts"))
+    starts = _log(spark, d).select("vdisk_id", _day().alias("start_ts"))
     return partitions.gap_step(starts, partitions.DAY, 1707000000)
 
 
@@ -451,11 +451,11 @@ def sample_delta(spark, d):
     return metrics.deltas(_events(spark, d), "user_id", ("ts", "event_id"), "value").select("event_id", "delta")
 
 
-@query("""WITH s AS (SELECT 'd' || (user_id % 4) AS disk, epoch_us(ts) // 1000 AS ms, event_id * 1000003 % 4294967296 AS ops, event_id * 7919 % 4294967296 AS busy_ms, event_id FROM events WHERE user_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY user_id % 4, epoch_us(ts) // 1000 ORDER BY event_id) = 1),
+@query("""WITH s AS (SELECT 'd' || (user_id % 4) AS disk, epoch_us(ts) // 1000 AS ms, event_id * 1000003 % 4294967296 AS ops, event_id * 7919 % 4294967296 AS busy_ms, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 4, epoch_us(ts) // 1000 ORDER BY event_id) = 1),
     w AS (SELECT disk, ms, ms - lag(ms) OVER o AS e, ops - lag(ops) OVER o AS a, busy_ms - lag(busy_ms) OVER o AS b FROM s WINDOW o AS (PARTITION BY disk ORDER BY ms))
     SELECT disk, ms, ((a + 4294967296) % 4294967296) * 1000 / e AS iops, ((b + 4294967296) % 4294967296) * 100 / e AS util FROM w WHERE e > 500""")
 def disk_load(spark, d):
-    e = _events(spark, d).where("user_id % 10 = 0")  # these users stand for disks with counters
+    e = _events(spark, d)
     s = e.select(F.concat(F.lit("d"), (F.col("user_id") % 4).cast("string")).alias("disk"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id")
     s = s.groupBy("disk", "ms").agg(F.min("event_id").alias("i"))
     return metrics.disk_load(s.select("disk", "ms", (F.col("i") * 1000003 % (1 << 32)).alias("ops"), (F.col("i") * 7919 % (1 << 32)).alias("busy_ms")))
@@ -585,6 +585,6 @@ def placement(spark, d):
     """Replicas of 24 virtual disks on the nations as nodes and the regions as racks."""
     from keyloom.operators import placement as greedy
 
-    nodes = inputs.table(spark, d, "nation").orderBy("n_nationkey").limit(1000).collect()  # a topology
+    nodes = inputs.table(spark, d, "nation").orderBy("n_nationkey").collect()  # a topology
     disks = [(str(r.n_regionkey), r.n_name, f"d{i}") for r in nodes for i in (0, 1)]
     return spark.createDataFrame(greedy.place(disks, 24, 3), "vdisk_id long, ord int, node string, disk string")

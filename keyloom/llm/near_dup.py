@@ -7,9 +7,12 @@ large sets, and the share of equal coordinates is concentrated about the Jaccard
 
 Documents with equal shingle sets form one class. Classes that share a band of their sketches
 are candidates. In a large bucket not all pairs are tried: its members are first held against
-one leader, by exact intersection of the full sets; links so found make components; and only
-members that are still in different components meet in further rounds, the last of which tries
-every such pair that shares two bands. So the components are those of all candidate pairs.
+one leader, the one with most neighbours, by exact intersection of the full sets; links so found
+make components; and only members that are still in different components meet in further rounds.
+The last round is exact for them: each orders its shingles so that those which its bucket's
+leader lacks come first, and two members can be similar enough only if they share one of the
+first few, at places that leave enough common ones. So the components are those of all
+candidate pairs.
 """
 
 from __future__ import annotations
@@ -19,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm import shared, tokens, words
 
 U = np.uint64
-#: 40 bands of 5 coordinates: a pair at similarity 0.8 shares fewer than ``SHARED`` = 2 bands
-#: with probability 2.5e-6, one at 0.85 with 2e-9.
-BANDS, ROWS, SHARED = 40, 5, 2
+#: 40 bands of 5 coordinates: a pair at similarity 0.8 shares none with probability 1.3e-7, one
+#: at 0.85 with 6e-11.
+BANDS, ROWS = 40, 5
+#: Sizes of sets are compared in classes of this ratio.
+SIZE_STEP = 1.05
 #: Rounds with one leader a bucket go on while they link one in so many candidate classes.
 LEADERS_GAIN, LEADER_ROUNDS = 50, 4
 
@@ -135,6 +140,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def _firsts(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The first shingles of each node of seats (node, n, comp, leader) and their places, in the
+    order in which those that the leader lacks come first; so many that a node linked with this
+    one has one of them. Adds shingle and place; leaves the sets out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            taken = []
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                x = np.frombuffer(x, U)
+                known = np.isin(x, np.frombuffer(y, U), assume_unique=True)
+                taken.append(np.concatenate([x[~known], x[known]])[: len(x) + 1 + (-percent * len(x)) // 100])
+            rows = pa.array(np.repeat(np.arange(len(taken)), [len(t) for t in taken]), pa.int64())
+            shingle = np.concatenate([*taken, np.zeros(0, U)]).view(np.int64)
+            place = np.concatenate([*(np.arange(len(t)) for t in taken), np.zeros(0, np.int64)])
+            columns = [batch.column(i).take(rows) for i in range(4)] + [pa.array(shingle), pa.array(place, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "comp", "leader", "shingle", "place"])
+
+    own = sets.select("node", F.col("shingles").alias("of_node"))
+    led = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("of_leader"))
+    rows = seats.join(own, "node").join(led, "leader").select("node", "n", "comp", "leader", "of_node", "of_leader")
+    return rows.mapInArrow(run, "node long, n long, comp long, leader long, shingle long, place long")
+
+
+def _straggling_pairs(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that share a bucket and may be linked.
+
+    All linked ones are among them. Under each key (leader, shingle) the nodes of all components
+    but its largest meet all nodes that are in other components and of a fitting size; pairs
+    within a component never arise.
+    """
+    leaders = open_members.groupBy("band").agg(F.min(F.struct(-F.col("near"), "node")).alias("l")).select("band", F.col("l.node").alias("leader"))
+    seats = shared.keep(open_members.join(leaders, "band").select("node", "n", "comp", "leader").distinct(), "seats")
+    firsts = shared.keep(_firsts(seats, sets, percent), "first-shingles")
+    sizes = firsts.groupBy("leader", "shingle", "comp").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("leader", "shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    marked = shared.keep(firsts.join(mixed, ["leader", "shingle"]), "mixed-shingles")
+
+    def size_class(n):  # noqa: ANN001, ANN202
+        return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(SIZE_STEP)))
+
+    left = F.col("n") - F.col("place")
+    largest = F.floor(((100 + percent) * left - percent * F.col("n")) / percent)
+    reach = F.sequence(size_class(F.floor(F.col("n") * percent / 100)), size_class(largest))
+    others = marked.where((F.col("comp") != F.col("most")) & (largest * 100 >= F.col("n") * percent))
+    others = others.select("leader", "shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), left.alias("left_a"), F.explode(reach).alias("class"))
+    every = marked.select("leader", "shingle", "most", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), left.alias("left_b"), size_class(F.col("n")).alias("class"))
+    enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    met = others.join(every, ["leader", "shingle", "class"]).where(((F.col("comp_b") == F.col("most")) | (F.col("comp_a") < F.col("comp_b"))) & enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and comp, the least node that edges (a, b) join it with, by alternating large and
     small stars. Each round is written; neighbours are never gathered, only their least."""
@@ -175,8 +232,9 @@ def near_groups(
         "classes",
     )
     member = classes.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
-    crowded = member.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
-    member = shared.keep(member.join(crowded, "band"), "band-members")
+    crowded = member.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
+    near = F.sum("k").over(Window.partitionBy("node"))  # neighbours, counted in each band
+    member = shared.keep(member.join(crowded, "band").withColumn("near", near).drop("k"), "band-members")
     active = member.select("node").distinct()
     sets = shared.keep(_full_sets(docs, classes.join(active, "node").select("node", "rep", "set_key"), words_each), "full-sets")
     n_active = sets.count()
@@ -185,7 +243,7 @@ def near_groups(
     comp = None
     open_members = member.withColumn("comp", F.col("node"))
     for nth in range(LEADER_ROUNDS):
-        order = F.xxhash64(F.lit(nth), "node")
+        order = F.xxhash64(F.lit(nth), "node") if nth else -F.col("near")
         leaders = open_members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "n", "comp")).alias("l")).select("band", F.col("l.node").alias("a"), F.col("l.n").alias("n_b"), F.col("l.comp").alias("comp_b"))
         pairs = open_members.join(leaders, "band").where((F.col("comp") != F.col("comp_b")) & fits)
         pairs = pairs.select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
@@ -197,15 +255,7 @@ def near_groups(
         open_members = shared.keep(open_members.join(mixed, "band"), "open-members")
         if found.count() * LEADERS_GAIN < n_active:
             break
-    # In each bucket the members of all components but its largest meet all members: pairs
-    # within a component, above all those of the largest, never arise.
-    sizes = open_members.groupBy("band", "comp").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"))
-    marked = shared.keep(open_members.join(largest, "band"), "open-members")
-    others = marked.where("comp != most").select("band", F.col("node").alias("a"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    pairs = others.join(marked, "band").where(((F.col("comp") == F.col("most")) | (F.col("comp") < F.col("comp_b"))) & fits)
-    pairs = pairs.groupBy(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).agg(F.count("*").alias("bands")).where(F.col("bands") >= SHARED).select("a", "b")
-    last = shared.keep(_verified(pairs, sets, percent), "links")
+    last = shared.keep(_verified(_straggling_pairs(open_members, sets, percent), sets, percent), "links")
     if not last.isEmpty():
         comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(last))
 

@@ -9,8 +9,8 @@ Documents with equal shingle sets form one class. Classes that share a band of t
 are candidates. In a large bucket not all pairs are tried: its members are first held against
 one leader, the one with most neighbours, by exact intersection of the full sets; links so found
 make components; and only members that are still in different components meet in further rounds.
-The last round is exact for them: each orders its shingles so that those which its bucket's
-leader lacks come first, and two members can be similar enough only if they share one of the
+The last round is exact for them: each orders its shingles so that those which a leader of its
+bucket's largest component lacks come first, and two members can be similar enough only if they share one of the
 first few, at places that leave enough common ones. So the components are those of all
 candidate pairs.
 """
@@ -167,11 +167,14 @@ def _firsts(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _straggling_pairs(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes in different components that share a bucket and may be linked.
 
-    All linked ones are among them. Under each key (leader, shingle) the nodes of all components
+    All linked ones are among them. A bucket's leader is the node with most neighbours in the
+    component that fills most of the bucket. Under each key (leader, shingle) the nodes of all components
     but its largest meet all nodes that are in other components and of a fitting size; pairs
     within a component never arise.
     """
-    leaders = open_members.groupBy("band").agg(F.min(F.struct(-F.col("near"), "node")).alias("l")).select("band", F.col("l.node").alias("leader"))
+    heads = open_members.groupBy("comp").agg(F.min(F.struct(-F.col("near"), "node")).alias("l")).select("comp", F.col("l.node").alias("leader"))
+    shares = open_members.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("comp"))
+    leaders = shares.join(heads, "comp").select("band", "leader")
     seats = shared.keep(open_members.join(leaders, "band").select("node", "n", "comp", "leader").distinct(), "seats")
     firsts = shared.keep(_firsts(seats, sets, percent), "first-shingles")
     sizes = firsts.groupBy("leader", "shingle", "comp").agg(F.count("*").alias("k"))

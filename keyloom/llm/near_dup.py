@@ -9,8 +9,8 @@ Documents with equal shingle sets form one class. Classes that share a band of t
 are candidates. In a large bucket not all pairs are tried: its members are first held against
 one leader, the one with most neighbours, by exact intersection of the full sets; links so found
 make components; and only members that are still in different components meet in further rounds.
-The last round is exact for them: each orders its shingles so that those which a leader of its
-bucket's largest component lacks come first, and two members can be similar enough only if they share one of the
+The last round is exact for them: each orders its shingles so that those which few leaders of
+its bucket's largest component have come first, and two members can be similar enough only if they share one of the
 first few, at places that leave enough common ones. So the components are those of all
 candidate pairs.
 """
@@ -32,6 +32,8 @@ U = np.uint64
 #: 40 bands of 5 coordinates: a pair at similarity 0.8 shares none with probability 1.3e-7, one
 #: at 0.85 with 6e-11.
 BANDS, ROWS = 40, 5
+#: Leaders of a component by which shingles are ordered in the last round.
+LEADERS = 3
 #: Sizes of sets are compared in classes of this ratio.
 SIZE_STEP = 1.05
 #: Rounds with one leader a bucket go on while they link one in so many candidate classes.
@@ -140,46 +142,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def _firsts(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The first shingles of each node of seats (node, n, comp, leader) and their places, in the
-    order in which those that the leader lacks come first; so many that a node linked with this
-    one has one of them. Adds shingle and place; leaves the sets out."""
+def _firsts(seats: DataFrame, leaders: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The first shingles of each node of seats (node, n, comp, head) and their places, those
+    that few of the head's leaders have coming first; so many that a node linked with this one
+    has one of them. leaders: head, of_leaders (their sets). Adds shingle and place; leaves the sets out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             taken = []
             for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 x = np.frombuffer(x, U)
-                known = np.isin(x, np.frombuffer(y, U), assume_unique=True)
-                taken.append(np.concatenate([x[~known], x[known]])[: len(x) + 1 + (-percent * len(x)) // 100])
+                known = sum(np.isin(x, np.frombuffer(of, U), assume_unique=True).astype(np.int8) for of in y)
+                taken.append(x[np.argsort(known, kind="stable")][: len(x) + 1 + (-percent * len(x)) // 100])
             rows = pa.array(np.repeat(np.arange(len(taken)), [len(t) for t in taken]), pa.int64())
             shingle = np.concatenate([*taken, np.zeros(0, U)]).view(np.int64)
             place = np.concatenate([*(np.arange(len(t)) for t in taken), np.zeros(0, np.int64)])
             columns = [batch.column(i).take(rows) for i in range(4)] + [pa.array(shingle), pa.array(place, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "comp", "leader", "shingle", "place"])
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "comp", "head", "shingle", "place"])
 
     own = sets.select("node", F.col("shingles").alias("of_node"))
-    led = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("of_leader"))
-    rows = seats.join(own, "node").join(led, "leader").select("node", "n", "comp", "leader", "of_node", "of_leader")
-    return rows.mapInArrow(run, "node long, n long, comp long, leader long, shingle long, place long")
+    rows = seats.join(own, "node").join(leaders, "head").select("node", "n", "comp", "head", "of_node", "of_leaders")
+    return rows.mapInArrow(run, "node long, n long, comp long, head long, shingle long, place long")
 
 
 def _straggling_pairs(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes in different components that share a bucket and may be linked.
 
-    All linked ones are among them. A bucket's leader is the node with most neighbours in the
-    component that fills most of the bucket. Under each key (leader, shingle) the nodes of all components
+    All linked ones are among them. A bucket's head is the component that fills most of it; the
+    leaders of a head are its nodes with most neighbours, one from each of ``LEADERS`` hashed
+    parts. Under each key (head, shingle) the nodes of all components
     but its largest meet all nodes that are in other components and of a fitting size; pairs
     within a component never arise.
     """
-    heads = open_members.groupBy("comp").agg(F.min(F.struct(-F.col("near"), "node")).alias("l")).select("comp", F.col("l.node").alias("leader"))
-    shares = open_members.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("comp"))
-    leaders = shares.join(heads, "comp").select("band", "leader")
-    seats = shared.keep(open_members.join(leaders, "band").select("node", "n", "comp", "leader").distinct(), "seats")
-    firsts = shared.keep(_firsts(seats, sets, percent), "first-shingles")
-    sizes = firsts.groupBy("leader", "shingle", "comp").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("leader", "shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    marked = shared.keep(firsts.join(mixed, ["leader", "shingle"]), "mixed-shingles")
+    part = F.pmod(F.xxhash64("node"), F.lit(LEADERS))
+    leaders = open_members.groupBy(F.col("comp").alias("head"), part.alias("part")).agg(F.min(F.struct(-F.col("near"), "node")).alias("l")).select("head", F.col("l.node").alias("node"))
+    heads = open_members.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("head"))
+    seats = shared.keep(open_members.join(heads, "band").select("node", "n", "comp", "head").distinct(), "seats")
+    leaders = leaders.join(seats.select("head").distinct(), "head").join(sets, "node").groupBy("head").agg(F.collect_list("shingles").alias("of_leaders"))
+    firsts = shared.keep(_firsts(seats, leaders, sets, percent), "first-shingles")
+    sizes = firsts.groupBy("head", "shingle", "comp").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("head", "shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    marked = shared.keep(firsts.join(mixed, ["head", "shingle"]), "mixed-shingles")
 
     def size_class(n):  # noqa: ANN001, ANN202
         return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(SIZE_STEP)))
@@ -188,10 +191,10 @@ def _straggling_pairs(open_members: DataFrame, sets: DataFrame, percent: int) ->
     largest = F.floor(((100 + percent) * left - percent * F.col("n")) / percent)
     reach = F.sequence(size_class(F.floor(F.col("n") * percent / 100)), size_class(largest))
     others = marked.where((F.col("comp") != F.col("most")) & (largest * 100 >= F.col("n") * percent))
-    others = others.select("leader", "shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), left.alias("left_a"), F.explode(reach).alias("class"))
-    every = marked.select("leader", "shingle", "most", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), left.alias("left_b"), size_class(F.col("n")).alias("class"))
+    others = others.select("head", "shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), left.alias("left_a"), F.explode(reach).alias("class"))
+    every = marked.select("head", "shingle", "most", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), left.alias("left_b"), size_class(F.col("n")).alias("class"))
     enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    met = others.join(every, ["leader", "shingle", "class"]).where(((F.col("comp_b") == F.col("most")) | (F.col("comp_a") < F.col("comp_b"))) & enough)
+    met = others.join(every, ["head", "shingle", "class"]).where(((F.col("comp_b") == F.col("most")) | (F.col("comp_a") < F.col("comp_b"))) & enough)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

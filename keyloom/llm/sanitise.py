@@ -4,9 +4,10 @@ Base spans are e-mail and IP addresses, payment-card and telephone numbers. Thei
 the protected entities. Over the whole corpus it is counted in how many documents each term
 stands, in how many each entity, and in how many a term stands within ``WINDOW`` words of an
 entity. A term's pointwise mutual information with an entity, log2(N n(t, e) / (n(t) n(e))),
-is held against the entity's information, log2(N / n(e)): if it gives away at least ``SHARE``
-of that, and does so in at least ``SUPPORT`` documents, the term discloses the entity and is
-removed where it stands near it. Base values are generalised to their kind.
+is held against the entity's information, log2(N / n(e)), with ``SMOOTH`` added to each count:
+if it gives away at least ``SHARE`` of that, the term discloses the entity and is removed where
+it stands near it. No number of documents is asked for, so values that stand once are judged
+too; n(t) makes common words fail. Base values are generalised to their kind.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from keyloom.llm import shared, tokens, words
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a base span that count as near it.
 WINDOW = 10
-SUPPORT, SHARE = 3, 0.9
+SHARE, SMOOTH = 0.9, 0.5
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -140,19 +141,20 @@ def term_counts(docs: DataFrame) -> DataFrame:
 _NONE = int(_hash(["\x00"])[0])
 
 
-def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, share: float = SHARE) -> DataFrame:
     """The (term, entity) pairs in which the term gives away at least ``share`` of the entity's
-    information, in at least ``support`` documents."""
+    information."""
     total = docs.agg(F.count("*").alias("total"))
     near = found.select(F.explode("near").alias("p")).select("p.term", "p.entity").groupBy("term", "entity").agg(F.count("*").alias("both"))
     entities = near.where(F.col("term") == _NONE).select("entity", F.col("both").alias("of_entity"))
-    pairs = near.where((F.col("term") != _NONE) & (F.col("both") >= support)).join(entities, "entity")
+    pairs = near.where(F.col("term") != _NONE).join(entities, "entity")
     pairs = pairs.join(term_counts(docs), "term").join(F.broadcast(total))  # one row
-    gain = F.log2(F.col("total") * F.col("both") / (F.col("n") * F.col("of_entity")))
-    return pairs.where((F.col("n") >= F.col("both")) & (gain >= share * F.log2(F.col("total") / F.col("of_entity"))) & (gain > 0)).select("term", "entity")
+    n, both, of_entity = (F.col(c) + SMOOTH for c in ("n", "both", "of_entity"))
+    gain = F.log2(F.col("total") * both / (n * of_entity))
+    return pairs.where((gain >= share * F.log2(F.col("total") / of_entity)) & (gain > 0)).select("term", "entity")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """One row for each row of docs: doc_id, base_spans and spans (text, kind:start:end each, by
     start and kind, comma-joined; added spans are of kind term), n_email, n_ip, n_card, n_phone
     and clean_text, in which base values stand as <KIND> and disclosing terms are left out.
@@ -163,7 +165,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = shared.keep(found_spans(docs, window), "entities")
-    bad = shared.keep(disclosing(docs, found, support, share), "disclosing")
+    bad = shared.keep(disclosing(docs, found, share), "disclosing")
     hits = found.select("doc_id", F.explode("near").alias("p")).select("doc_id", "p.term", "p.entity").join(bad, ["term", "entity"])
     hits = hits.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("term", "entity")).alias("bad"))
     hits = shared.keep(hits, "disclosed")  # as a table its size is known: Spark broadcasts it only if small

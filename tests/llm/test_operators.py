@@ -132,6 +132,14 @@ def test_disclosing_terms(spark, none):
     assert sanitise.sanitise(none).count() == 0
 
 
+def test_terms_of_a_value_that_stands_once(spark):
+    rows = [(0, "Write to Zebulon at zeb@mail.org today"), (1, "Reach Quillon via q@mail.org today"), (2, "Reach Quillon via q@mail.org today")]
+    rows += [(10 + i, f"plain words number {i} write reach via and today") for i in range(200)]
+    got = {r.doc_id: r.spans for r in sanitise.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == "term:9:16,email:20:32" and got[1] == got[2] == "term:6:13,email:18:28"
+    assert all(got[10 + i] == "" for i in range(200))
+
+
 def _whole(path, texts, end):
     from tokenizers import Tokenizer
 

@@ -7,7 +7,8 @@ hashes of those of its substrings that a segment of each admissible length could
 meet are verified by a banded bit-parallel edit distance.
 
 Lines are ordered by (doc_id, place in the document). A line goes if an equal line, or one
-within the edits, has an earlier place; lines shorter than ``min_chars`` always stay.
+within the edits, has an earlier place. Equal lines are found at any length, near ones from
+``min_chars`` on, which by default is all that are longer than the edits. Blank lines stay.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import shared
 
-MIN_CHARS = 40
 EDITS = 1
+#: Lines of fewer characters are compared for equality alone: any two of them are within the edits.
+MIN_CHARS = EDITS + 1
 #: Candidate lines are found again by a broadcast of their hashes up to this number (16 bytes
 #: each), by a shuffle beyond.
 BROADCAST_LINES = 500_000
@@ -146,8 +148,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS,
         raise ValueError("min_chars must be above edits")
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = _lines(named)
-    long = lines.where(F.col("n") >= min_chars)
-    firsts = shared.keep(long.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first")), "first-lines")
+    written = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    long = written.where(F.col("n") >= min_chars)
+    firsts = shared.keep(written.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first")), "first-lines")
     pairs = shared.keep(similar_lines(long, edits), "similar-lines")
     x = firsts.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("first").alias("first_x"))
     y = firsts.select(F.col("h1").alias("y1"), F.col("h2").alias("y2"), F.col("first").alias("first_y"))
@@ -155,7 +158,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS,
     later = F.when(F.col("first_x") > F.col("first_y"), F.struct(F.col("x1").alias("h1"), F.col("x2").alias("h2"))).otherwise(F.struct(F.col("y1").alias("h1"), F.col("y2").alias("h2")))
     late = shared.keep(met.select(later.alias("l")).select("l.h1", "l.h2").distinct().withColumn("late", F.lit(True)), "late-lines")
     fate = shared.keep(firsts.join(late, ["h1", "h2"], "left"), "line-fates")
-    # Shorter lines are in no fate and stay.
+    # Blank lines are in no fate and stay.
     places = lines.select("doc_id", "version", "at", "h1", "h2").join(fate, ["h1", "h2"], "left")
     drop = F.col("first").isNotNull() & (F.col("late").isNotNull() | ~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
     places = places.select("doc_id", "version", "at", drop.alias("drop"))

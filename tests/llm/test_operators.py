@@ -206,6 +206,28 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_short_lines(spark):
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        return a == b or (len(a) > 1 and len(b) - len(a) <= 1 and (a[k:] == b[k + 1 :] or a[k + 1 :] == b[k + 1 :]))
+
+    r = random.Random(5)
+    lines = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(14))) for _ in range(300)]
+    lines += r.choices(lines, k=60) + [x[:k] + r.choice(("", "i", "jj")) + x[k + 1 :] for x in r.choices(lines, k=60) for k in [r.randrange(1 + len(x))]]
+    rows = [(i, "\n".join(lines[i : i + 4])) for i in range(0, len(lines), 4)]
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = []
+    for i, t in rows:
+        left = []
+        for line in t.split("\n"):
+            if not line.strip() or not any(near(line, s) for s in seen):
+                left.append(line)
+            seen += [line] if line.strip() else []
+        assert got[i].text == "\n".join(left) and got[i].n_dropped == t.count("\n") + 1 - len(left)
+
+
 def test_quality(spark, docs, none):
     r = random.Random(3)
     good = lambda: " ".join("".join(r.choice("aeiost") for _ in range(r.randrange(2, 8))) for _ in range(60)) + "."

@@ -140,6 +140,17 @@ def test_terms_of_a_value_that_stands_once(spark):
     assert all(got[10 + i] == "" for i in range(200))
 
 
+def test_terms_far_from_the_value_and_without_it(spark):
+    far = "Zebulon came. " + "plain words and today " * 30
+    rows = [(i, far + "zeb@mail.org") for i in range(5)] + [(5, "Only Zebulon here today"), (6, None)]
+    rows += [(10 + i, f"plain words came and today only here mail org number {i}") for i in range(400)]
+    for most in (sanitise.BROADCAST_TERMS, 0):  # by broadcast, by joins
+        got = {r.doc_id: r for r in sanitise.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_terms=most).collect()}
+        assert all(got[i].spans == f"term:0:7,email:{len(far)}:{len(far) + 12}" for i in range(5))
+        assert got[5].spans == "term:5:12" and got[5].clean_text == "Only  here today"
+        assert len(got) == len(rows) and all(got[10 + i].spans == "" for i in range(400))
+
+
 def _whole(path, texts, end):
     from tokenizers import Tokenizer
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.operators import routing
@@ -15,15 +15,22 @@ def duplicates(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def id_gaps(ids: DataFrame, col: str = "id") -> DataFrame:
-    """Ids that should run from 0 without gaps: each first id out of step, as dup or gap."""
-    off = F.col(col) - (F.row_number().over(Window.orderBy(col)) - 1)
-    stepped = ids.withColumn("off", off)
-    before = F.lag("off", 1, 0).over(Window.orderBy(col, F.desc("off")))
-    return stepped.withColumn("was", before).where("off != was").select(F.col(col).alias("id"), F.when(F.col("off") < F.col("was"), "dup").otherwise("gap").alias("problem"))
+    """Ids that should run from 0 without gaps: each first id out of step, as dup or gap.
+
+    In ascending order an id is in step if it is one above the id before it, and the least one
+    if it is 0; each further row of an id is a dup. Null ids are left out.
+    """
+    each = ids.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("id")).agg(F.count("*").alias("times"))
+    least = each.agg(F.min("id").alias("least"))
+    first = each.join(each.select((F.col("id") + 1).alias("id")), "id", "left_anti").join(F.broadcast(least))  # one row
+    first = first.where("id != 0 OR id != least").select("id", F.when((F.col("id") == F.col("least")) & (F.col("id") < 0), "dup").otherwise("gap").alias("problem"))
+    again = each.where("times > 1").select("id", F.explode(F.sequence(F.lit(2), F.col("times")))).select("id", F.lit("dup").alias("problem"))
+    return first.unionByName(again)
 
 
 def adjacent_duplicates(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn("before", F.lag(col).over(Window.orderBy(col))).where(F.col("before") == F.col(col)).select(col).distinct()
+    """Values that stand next to themselves in sorted order: those that stand more than once."""
+    return duplicates(df.where(F.col(col).isNotNull()), col).select(col)
 
 
 def missing(part: DataFrame, whole: DataFrame, on: list[str]) -> DataFrame:

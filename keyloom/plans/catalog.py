@@ -571,13 +571,14 @@ def packet_batches(spark, d):
 @query(f"WITH {LOG}, v AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS rn FROM log) SELECT key, ts, seq, is_tombstone, payload FROM v WHERE rn = 1")
 def stream_latest(spark, d):
     """The newest versions again, kept by a stream over the same table."""
+    from keyloom.llm import shared
     from keyloom.streaming import state
 
     schema = _events(spark, d).schema
     source = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
-    name = f"stream_latest_{abs(hash(d))}"
-    state.latest_stream(inputs.op_log(source), name).awaitTermination()
-    return spark.table(name)
+    path = shared.new_path(spark, "stream-latest")
+    state.latest_stream(inputs.op_log(source), path).awaitTermination()
+    return spark.read.parquet(path)
 
 
 @query()

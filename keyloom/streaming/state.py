@@ -9,15 +9,24 @@ from pyspark.sql.streaming import StreamingQuery
 from keyloom.operators import metrics, versions
 
 
-def latest_stream(log: DataFrame, name: str) -> StreamingQuery:
-    """Keeps the newest version of every key in the table ``name``; late records are never
+def _to_parquet(out: DataFrame, path: str, checkpoint: str | None) -> StreamingQuery:
+    """Each batch's whole result replaces the one before it in Parquet at ``path``; none of it
+    comes to the driver."""
+
+    def write(batch: DataFrame, nth: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return out.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint or f"{path}-checkpoint").trigger(availableNow=True).start()
+
+
+def latest_stream(log: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
+    """Keeps the newest version of every key in Parquet at ``path``; late records are never
     dropped, and one older than the newest changes nothing."""
-    return versions.latest(log).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    return _to_parquet(versions.latest(log), path, checkpoint)
 
 
-def counter_stream(samples: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
-    out = metrics.counters(samples).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
+def counter_stream(samples: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
+    return _to_parquet(metrics.counters(samples), path, checkpoint)
 
 
 def rate_stream(samples: DataFrame, delay: str = "1 minute", seconds: int = 5) -> DataFrame:

@@ -59,9 +59,12 @@ def _met_at(share: Column, ramp: Column) -> Column:
     return F.when(ramp == 0, share).otherwise((1 + ramp - root) / F.when(ramp != 0, 2 * ramp))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, ramps=RAMPS, most: int = MOST_PASSES) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, copies, taken and
-    position (of the first copy; null without one).
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, ramps=RAMPS, most: int = MOST_PASSES, row_col: str | None = None
+) -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, ramp, start (the
+    source's words before it), copies, taken and position (of the first copy; null without one);
+    also ``row``, if docs have a column ``row_col`` that tells their rows apart.
 
     A source's words stand in a fixed order by MD5 of the doc_id. A document is taken whole in
     each full pass, and in the last, unfinished one if its middle word still falls within the
@@ -69,8 +72,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A null text has size 0 and takes nothing; a null source is a source of its own, after all
     others; null and repeated doc_ids are ordered by size. An empty table gives no rows.
     """
+    row = [] if row_col is None else ["row"]
     sized = shared.keep(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *(F.col(row_col).alias(c) for c in row)).withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
         "sizes",
     ).withColumn("part", F.conv(F.substring("turn", 1, 3), 16, 10).cast("int"))
     targets = source_targets(sized, weights, ramps, most)
@@ -78,24 +82,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first"))
     parts = parts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.*", "source_size", "target", "ramp")
-    within = Window.partitionBy("source", "part").orderBy("turn", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "part").orderBy("turn", "size", "doc_id", *row).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("s")
     placed = placed.join(parts.alias("q"), F.col("s.source").eqNullSafe(F.col("q.source")) & (F.col("s.part") == F.col("q.part")))
     start = F.col("first") + F.col("inside")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     last = F.col("target") - F.col("passes") * F.col("source_size")
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("passes") + F.when(2 * F.col("start") + F.col("size") <= 2 * last, 1).otherwise(0))
-    placed = placed.select("doc_id", "s.source", "size", "source_size", "target", "ramp", start.alias("start"), passes.alias("passes"))
+    placed = placed.select(*row, "doc_id", "s.source", "size", "source_size", "target", "ramp", start.alias("start"), passes.alias("passes"))
     placed = placed.withColumn("copies", copies.cast("int"))
     share = F.least(F.lit(1.0), F.col("start") / F.col("target"))
     position = F.when(F.col("copies") > 0, _met_at(share, F.col("ramp")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "ramp", "start", "copies", (F.col("copies") * F.col("size")).alias("taken"), position.alias("position"))
+    return placed.select(*row, "doc_id", "source", "size", "source_size", "target", "ramp", "start", "copies", (F.col("copies") * F.col("size")).alias("taken"), position.alias("position"))
 
 
-def in_training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as it is taken, range-sorted by training position."""
-    each = mixed.where("copies > 0").select(F.col("doc_id").alias("of"), "ramp", "source_size", "target", "start", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("nth"))
-    share = F.least(F.lit(1.0), (F.col("start") + F.col("nth") * F.col("source_size")) / F.col("target"))
-    each = each.select("of", "nth", _met_at(share, F.col("ramp")).alias("position"))
-    names = docs.columns
-    return docs.join(each, docs[id_col].eqNullSafe(each.of)).repartitionByRange("position", "of", "nth").sortWithinPartitions("position", "of", "nth").select(*[docs[c] for c in names])
+def in_training_order(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as ``mix(docs, **options)`` takes it, range-sorted by
+    training position; the columns are those of docs.
+
+    Rows are written once with a number of their own, by which each meets its copies: so rows
+    that repeat a doc_id, or have none, are taken each for itself. Documents without words are
+    never taken. An empty table gives no rows.
+    """
+    row, position, nth = (shared.fresh(docs, c) for c in ("row", "position", "nth"))
+    numbered = shared.keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    each = mix(numbered, **options, row_col=row).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    share = F.least(F.lit(1.0), (F.col("start") + F.col("copy") * F.col("source_size")) / F.col("target"))
+    each = shared.keep(each.select(F.col("row").alias(row), F.col("copy").alias(nth), _met_at(share, F.col("ramp")).alias(position)), "training-positions")
+    order = (position, row, nth)
+    return numbered.join(each, row).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

@@ -39,11 +39,13 @@ WIDTH = TRIGRAMS + 8
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """A row of damped relative counts for each text; an empty text has a row of zeros."""
+    """A row of damped relative counts for each text. An empty text has no trigrams, and the sums
+    of one line without words."""
     n = len(texts)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     out = np.zeros((n, WIDTH), np.float32)
+    out[size == 0, TRIGRAMS:] = (0, 0, 0, 0, 0, 0, 1, 0.3)
     if not len(raw):
         return out
     owner = np.repeat(np.arange(n), size)
@@ -160,8 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
-    """Adds each text's score, 0 to 1, to the rows of docs, all columns kept. A null or empty
-    text, and one unlike any labelled text, gets the labels' mean."""
+    """Adds each text's score, 0 to 1, to the rows of docs, all columns kept; ``into`` must not
+    be among them. A null text counts as empty, and an empty one is judged by its own features;
+    a text unlike any labelled text gets the labels' mean."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
     at = docs.columns.index(text_col)

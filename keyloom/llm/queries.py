@@ -25,8 +25,9 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = curriculum.mix(shared.table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    mixed = shared.keep(curriculum.mix(shared.table(spark, sf_dir, "documents")), "mix")
+    ordered = mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return ordered.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 9).alias("position"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    packed = packing.pack(shared.table(spark, sf_dir, "documents"), path, longest=1024, end_id=0, with_ids=False)
+    packed = packing.pack(shared.table(spark, sf_dir, "documents"), path, longest=1024, end_id=0, with_ids=False, in_file_order=True)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -91,22 +92,27 @@ ORACLES: dict[str, str] = {
         s AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
                    row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
-        w AS (SELECT *, 3 * source_size AS cap, CASE nth % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
+        w AS (SELECT *, 3 * source_size AS cap, CASE nth % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+                        CASE nth % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS ramp FROM s),
         l AS (
             SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                       / sum(weight) OVER (ORDER BY cap / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
         f AS (SELECT arg_min(level, (cap / weight, nth)) AS level FROM l WHERE level * weight < cap),
         t AS (
-            SELECT source, source_size,
+            SELECT source, source_size, ramp,
                    CASE WHEN f.level IS NULL OR cap / weight <= f.level THEN CAST(cap AS DOUBLE) ELSE f.level * weight END AS target
             FROM w CROSS JOIN f),
         p AS (
-            SELECT doc_id, size, source_size, target,
+            SELECT doc_id, size, source_size, target, ramp,
                    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
                    CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, round(target, 6) AS target,
-               CAST(CASE WHEN size = 0 THEN 0
-                         ELSE size * (passes + CASE WHEN 2 * start + size <= 2 * (target - passes * source_size) THEN 1 ELSE 0 END) END AS BIGINT) AS taken
-        FROM p""",
+        c AS (
+            SELECT *, CASE WHEN size = 0 THEN 0 ELSE passes + CASE WHEN 2 * start + size <= 2 * (target - passes * source_size) THEN 1 ELSE 0 END END AS copies,
+                   least(1.0::DOUBLE, start / target) AS share
+            FROM p)
+        SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(size * copies AS BIGINT) AS taken,
+               round(CASE WHEN copies = 0 THEN NULL WHEN ramp = 0 THEN share
+                          ELSE (1 + ramp - sqrt(greatest(0.0::DOUBLE, (1 + ramp) * (1 + ramp) - 4 * ramp * share))) / (2 * ramp) END, 9) AS position
+        FROM c""",
 }

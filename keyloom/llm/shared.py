@@ -4,24 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space, as Java and DuckDB regular expressions and bytes.split() see it.
 SPACE = r"[\x20\x09-\x0D]"
 
+#: Folders of sessions on one machine that name none, by application.
+_OWN: dict[str, str] = {}
+#: Paths of the tables that ``keep`` has written and that nobody has removed.
+_KEPT: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all machines share, spark.checkpoint.dir. Where it is unset, a session on one
+    machine gets a folder of its own; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="keyloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="keyloom-")
+    return _OWN[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -33,4 +46,36 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     executor loses nothing of it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables kept within are removed at the end, but for the paths put in the list given."""
+    mark, stays = len(_KEPT), []
+    try:
+        yield stays
+    finally:
+        for path in _KEPT[mark:]:
+            if path not in stays:
+                remove(spark, path)
+        _KEPT[mark:] = stays
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def last_kept() -> str:
+    """The path of the table kept last."""
+    return _KEPT[-1]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

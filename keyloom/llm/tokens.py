@@ -2,10 +2,11 @@
 
 Both vocabularies used here split a text at white space, and between letters and the signs of
 ``_SIGNS``, before they merge; so a text's ids are the ids of its units, one after another.
-Most units of a corpus repeat: each worker keeps the ids of up to ``MEMO_UNITS`` units and
+Most units of a corpus repeat: each worker keeps the ids of units up to ``MEMO_BYTES`` and
 hands only unseen ones to the library. Units of plain letters go straight to its model, all
 others through its whole chain. Texts with the control characters U+001C..U+001F, which Python
-but not the library counts as white space, go to the library whole.
+but not the library counts as white space, and texts that hold the string of an added token,
+which the library turns into that token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from itertools import chain
 
 import numpy as np
 
-#: Units that a worker remembers; a bound on memory, not on what is encoded.
-MEMO_UNITS = 1_000_000
+#: Bytes that a worker's memo of units may take, looked at after each slice of texts, and what
+#: an entry takes beside its characters; a bound on memory, not on what is encoded.
+MEMO_BYTES, ENTRY_BYTES = 48_000_000, 190
 
 _ODD = re.compile("[\x1c-\x1f]")
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?%*#$&|"
@@ -62,16 +64,17 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaces, self.units = spaces, (_SPACED if spaces else _BARE).findall
         self._forget()
 
     def _forget(self) -> None:
-        self.memo, self.ids, self.ends = _Memo(), np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.memo, self.ids, self.ends, self.held = _Memo(), np.zeros(0, np.uint16), np.zeros(1, np.int64), 0
 
     def _learn(self) -> None:
         """Appends the ids of the units not seen before to the table."""
         new, self.memo.new = self.memo.new, []
+        self.held += sum(map(len, new)) + ENTRY_BYTES * len(new)
         found: list = [None] * len(new)
         whole, tokenize = [], self.tokenizer.model.tokenize
         for k, unit in enumerate(new):
@@ -88,7 +91,7 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, number of ids of each text)."""
-        if len(self.memo) > MEMO_UNITS:
+        if self.held > MEMO_BYTES:
             self._forget()
         parts = [self.units(text) for text in texts]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -102,9 +105,10 @@ class UnitEncoder:
         ids = self.ids[np.arange(total[-1]) + np.repeat(start - total[:-1], size)]
         edges = total[np.concatenate([[0], np.cumsum(counts)])]
         lengths = np.diff(edges)
-        if any(map(_ODD.search, texts)):
+        whole = {k for k, text in enumerate(texts) if _ODD.search(text) or any(a in text for a in self.added)}
+        if whole:
             pieces = [
-                np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16) if _ODD.search(text) else ids[edges[k] : edges[k + 1]]
+                np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16) if k in whole else ids[edges[k] : edges[k + 1]]
                 for k, text in enumerate(texts)
             ]
             ids, lengths = np.concatenate(pieces), np.array([len(p) for p in pieces], np.int64)
@@ -117,7 +121,7 @@ def encoder(path: str, spaces: bool) -> UnitEncoder:
     return UnitEncoder(path, spaces)
 
 
-def slices(texts: list[str], chars: int = 2_000_000):
+def slices(texts: list[str], chars: int = 500_000):
     """Index ranges of texts with about so many characters, at least one text each."""
     start = total = 0
     for i, text in enumerate(texts):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from keyloom.llm import block_names, curriculum, html_text, line_dedup, media, near_dup, packing, progressive, quality, sanitise, token_store, words
 
 SCHEMA = "doc_id long, text string, source string, score double, node long"
-TEXTS = [None, "", " ", "one", "A b\tc", "a  b c", "Á" * 40 + "\x80" * 3, "x y " * 3000, "long line " * 9 + "\nshort\n" + "long line " * 9, "ab" * 5000, "a\x1cb c", "mail a.b@c.de now", "line one is quite long enough to count here\n" * 3]
+TEXTS = [None, "", " ", "one", "A b\tc", "a  b c", "Á" * 40 + "\x80" * 3, "x y " * 3000, "long line " * 9 + "\nshort\n" + "long line " * 9, "ab" * 5000, "a\x1cb c", "mail a.b@c.de now", "line one is quite long enough to count here\n" * 3, "a  <|endoftext|> b <|startoftext|>c<|EndOfText|>"]
 
 
 @pytest.fixture(scope="module")
@@ -98,7 +98,11 @@ def test_mix(spark, docs, none):
     assert all(abs(taken - target) <= 7 for target, taken, _ in by.values())
     assert abs(sum(t[0] for t in by.values()) - sum(t[2] for t in by.values())) < 1e-6
     assert all(0 <= r.position <= 1 for r in rows if r.copies)
-    ordered = curriculum.in_training_order(big, curriculum.mix(big))
+    ordered = curriculum.in_training_order(big)
+    assert big.withColumns({"position": F.lit(1), "nth": F.lit(2), "Row": F.lit(3)}).transform(curriculum.in_training_order).columns == [*SCHEMA.replace(",", "").split()[::2], "position", "nth", "Row"]
+    same = spark.createDataFrame([(None, f"w{i % 3} x", "s", 0.0, 1) for i in range(9)] + [(7, "a b c", "t", 0.0, 1)] * 8, SCHEMA)
+    want = sum(r.copies for r in curriculum.mix(same).collect())
+    assert curriculum.in_training_order(same).count() == want and curriculum.in_training_order(none).count() == 0
     assert ordered.count() == sum(r.copies for r in rows) and ordered.columns == big.columns
     assert curriculum.mix(none).count() == 0
 
@@ -155,7 +159,6 @@ def _whole(path, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 
@@ -171,6 +174,21 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_sequences_follow_the_input_order(spark, docs, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i * 7919 % 500, "w " * (i % 9), "s", 0.0, 1) for i in range(500)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).sortWithinPartitions("doc_id").write.option("maxRecordsPerFile", 40).parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    order = {(r.doc_id): n for n, r in enumerate(sorted(read.select("doc_id", "_metadata.file_path", "_metadata.row_index").collect(), key=lambda r: (r.file_path, r.row_index)))}
+    got = packing.pack(read, path, longest=8, in_file_order=True).collect()
+    assert sorted(r.sequence_id for r in got) == list(range(len(got)))
+    got.sort(key=lambda r: r.sequence_id)
+    assert [r.length for r in got] == sorted((r.length for r in got), reverse=True)
+    for length in (1, 2, 4, 8):
+        mine = [(order[r.doc_id], r.start) for r in got if r.length == length]
+        assert mine == sorted(mine) and len(mine) > 9
+
+
 def test_token_store(spark, docs, none, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     token_store.write(docs, str(tmp_path / "s"), path)

@@ -166,32 +166,38 @@ def _again(met: DataFrame, edits: int) -> DataFrame:
 def late_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     """h1, h2 of the lines that are within the edits of a line with an earlier place."""
 
-    def near(a: str, b: str) -> Column:
-        return within_edits(F.split(a, ""), F.split(b, ""), edits)
+    def within(a: str, b: str) -> Column:
+        return _let(F.split(a, ""), lambda x: _let(F.split(b, ""), lambda y: within_edits(x, y, edits)))
+
+    def near(a: str, b: str, rest_a: str, rest_b: str) -> Column:
+        # Lines are no nearer than their rests, which are shorter; the shortest tell nothing.
+        short = F.least(F.char_length(rest_a), F.char_length(rest_b)) <= edits
+        return (short | within(rest_a, rest_b)) & within(a, b)
 
     met = _meeting(docs, lines, firsts, edits)
     found, level = [], 0
     while True:
         met = shared.keep(met, "met-lines")
         groups = met.groupBy("key").agg(
-            F.count("*").alias("k"), F.min(F.char_length("rest")).alias("least"), F.max("owns").alias("owned"), F.min("h1").alias("x"), F.max("h1").alias("y"), F.min(F.struct("first", "line")).alias("lead")
+            F.count("*").alias("k"), F.min(F.char_length("rest")).alias("least"), F.max("owns").alias("owned"), F.min("h1").alias("x"), F.max("h1").alias("y"), F.min(F.struct("first", "line", "rest")).alias("lead")
         )
         groups = shared.keep(groups.where("x < y AND owned").drop("owned", "x", "y"), "line-groups")
         met = met.drop("owns").join(groups, "key")
         done = F.col("least") <= edits  # no segments are left
         few = (F.col("k") <= FEW) & (done | F.lit(level > 0))
         # Half a line in common says little: the first groups go on to their rests.
-        late = F.when(done | F.lit(level > 0), (F.col("first") > F.col("lead.first")) & near("lead.line", "line")).otherwise(False)
+        late = F.when(done | F.lit(level > 0), (F.col("first") > F.col("lead.first")) & near("lead.line", "line", "lead.rest", "rest")).otherwise(False)
         judged = shared.keep(met.where(~few).withColumn("late", late).drop("lead", "k"), "judged-lines")
         found.append(judged.where("late").select("h1", "h2"))
         # The earliest line is never late here: where another is not, the group goes on.
         left = judged.groupBy("key").agg(F.count_if(~F.col("late")).alias("left")).where("left > 1").select("key")
         judged = judged.join(left, "key")
-        tried = met.where(few).withColumn("late", F.lit(False)).select("key", "h1", "h2", "first", "line", "late").union(judged.where(done).select("key", "h1", "h2", "first", "line", "late"))
-        x = tried.select("key", F.col("first").alias("first_x"), F.col("line").alias("line_x"))
-        y = tried.where("NOT late").select("key", "h1", "h2", F.col("first").alias("first_y"), F.col("line").alias("line_y"))
-        pairs = x.join(y, "key").where("first_x < first_y").select("h1", "h2", "line_x", "line_y").distinct()
-        found.append(shared.keep(pairs.where(near("line_x", "line_y")).select("h1", "h2").distinct(), "late-lines"))
+        columns = ["key", "h1", "h2", "first", "line", "rest", "late"]
+        tried = met.where(few).withColumn("late", F.lit(False)).select(*columns).union(judged.where(done).select(*columns))
+        x = tried.select("key", F.col("first").alias("first_x"), F.col("line").alias("line_x"), F.col("rest").alias("rest_x"))
+        y = tried.where("NOT late").select("key", "h1", "h2", F.col("first").alias("first_y"), F.col("line").alias("line_y"), F.col("rest").alias("rest_y"))
+        pairs = x.join(y, "key").where((F.col("first_x") < F.col("first_y")) & near("line_x", "line_y", "rest_x", "rest_y"))
+        found.append(shared.keep(pairs.select("h1", "h2").distinct(), "late-lines"))
         met = judged.where(~done)
         if met.isEmpty():
             break

@@ -106,13 +106,13 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, size, source_size, target, ramp,
                    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
                    CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
         c AS (
             SELECT *, CASE WHEN size = 0 THEN 0 ELSE passes + CASE WHEN 2 * start + size <= 2 * (target - passes * source_size) THEN 1 ELSE 0 END END AS copies,
                    least(1.0::DOUBLE, start / target) AS share
             FROM p)
         SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(size * copies AS BIGINT) AS taken,
                round(CASE WHEN copies = 0 THEN NULL WHEN ramp = 0 THEN share
-                          ELSE (1 + ramp - sqrt(greatest(0.0::DOUBLE, (1 + ramp) * (1 + ramp) - 4 * ramp * share))) / (2 * ramp) END, 9) AS position
+                          ELSE (1 + ramp - sqrt(greatest(0.0::DOUBLE, (1 + ramp) * (1 + ramp) - 4 * ramp * share))) / (2 * ramp) END, 9) + 0.0 AS position
         FROM c""",
 }

@@ -257,6 +257,19 @@ def test_short_lines(spark):
         assert got[i].text == "\n".join(left) and got[i].n_dropped == t.count("\n") + 1 - len(left)
 
 
+def test_large_group_of_near_lines(spark):
+    """Copies of one line with an edit each, and lines that share its first half alone."""
+    r = random.Random(6)
+    base = "".join(r.choice("abcdefgh ") for _ in range(48))
+    near = [base[:k] + c + base[k + 1 :] for k in range(48) for c in "XYZ"]
+    half = [base[:24] + "".join(r.choice("abcdefgh ") for _ in range(24)) for _ in range(150)]
+    half += [h[:40] + "Q" + h[41:] for h in half[::5]]
+    lines = [base, *r.sample(near, len(near)), *half]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    late = {i for i, x in enumerate(lines) if any(len(x) == len(y) and sum(a != b for a, b in zip(x, y)) <= 1 for y in lines[:i])}
+    assert len(late) > 150 and all(got[i] == ("" if i in late else x) for i, x in enumerate(lines))
+
+
 def test_quality(spark, docs, none):
     r = random.Random(3)
     good = lambda: " ".join("".join(r.choice("aeiost") for _ in range(r.randrange(2, 8))) for _ in range(60)) + "."

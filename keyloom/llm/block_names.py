@@ -86,5 +86,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         every.join(named.alias("n"), F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.version") == F.col("n.version"))).select("r.doc_id", "text_sha256", "n_blocks", "name"),
         "identities",
     )
-    groups = every.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Written before it is joined: so both sides have a shuffle of their own, and Spark can split
+    # the rows of a large group.
+    groups = shared.keep(every.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return every.join(groups, ["n_blocks", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

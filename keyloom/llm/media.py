@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm import progressive
+from keyloom.llm import progressive, shared
 
 #: Payload bytes that are coded together in a task.
 BATCH_BYTES = 1 << 20
@@ -89,35 +89,52 @@ def feature(tensors: list[np.ndarray]) -> str:
     return f"{len(tensors)}x{h}x{w}:{sums[0]}:{sums[1]}:{sums[2]}:{crc}"
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, media (the JPEG frames), tensors (each
-    frame's pixels as height, width and RGB bytes), and payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256 and feature, all from the stored bytes read back;
-    without ``with_media`` all but media and tensors.
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes and media, the text's bytes as JPEG frames.
 
     A null or empty text is a payload of 64 zero bytes. Null and repeated doc_ids are rows like
     any other; an empty table gives no rows; other columns are left out.
     """
-    tensor = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("rgb", T.BinaryType())])
-    text, long = T.StringType(), T.LongType()
-    fields = [("n_bytes", long), ("payload_bytes", long), ("payload_sha256", text), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", text), ("feature", text)]
-    fields += [("media", T.BinaryType()), ("tensors", T.ArrayType(tensor))] if with_media else []
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(*f) for f in fields)])
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]))]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()
             held = [payload(t) for t in texts]
             for a, b in _groups(held, BATCH_BYTES):
+                n = [len(t.encode("utf-8", "surrogatepass")) for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(store(held[a:b]), pa.binary())], names=schema.names)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def read_back(media: DataFrame, with_media: bool = True) -> DataFrame:
+    """The rows of ``stored`` with what the stored bytes hold: payload_bytes, payload_sha256,
+    tail_crc32, media_bytes, media_sha256, feature, and tensors (each frame's pixels as height,
+    width and RGB bytes); without ``with_media`` all but media and tensors."""
+    tensor = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("rgb", T.BinaryType())])
+    text, long = T.StringType(), T.LongType()
+    fields = [("payload_bytes", long), ("payload_sha256", text), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", text), ("feature", text)]
+    fields += [("media", T.BinaryType()), ("tensors", T.ArrayType(tensor))] if with_media else []
+    schema = T.StructType([media.schema["doc_id"], media.schema["n_bytes"], *(T.StructField(*f) for f in fields)])
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = batch.column(2).to_pylist()
+            for a, b in _groups(files, BATCH_BYTES):
                 rows = []
-                files = store(held[a:b])
-                for text, media, (raw, tensors) in zip(texts[a:b], files, read(files)):
-                    n = len(text.encode("utf-8", "surrogatepass"))
-                    rows.append([n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(tensors)])
+                for file, (raw, tensors) in zip(files[a:b], read(files[a:b])):
+                    rows.append([len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature(tensors)])
                     if with_media:
-                        rows[-1] += [media, [{"height": t.shape[0], "width": t.shape[1], "rgb": t.tobytes()} for t in tensors]]
+                        rows[-1] += [file, [{"height": t.shape[0], "width": t.shape[1], "rgb": t.tobytes()} for t in tensors]]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *columns], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def media_columns(docs: DataFrame, with_media: bool = True, **cols: str) -> DataFrame:
+    """The media columns of docs, written to the shared folder, and what they hold when read
+    back; see ``stored`` and ``read_back``."""
+    return read_back(shared.keep(stored(docs, **cols), "media"), with_media)

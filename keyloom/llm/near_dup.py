@@ -238,7 +238,9 @@ def near_groups(
         "classes",
     )
     member = classes.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
-    crowded = member.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
+    # Written before it is joined, as are leaders and mixed buckets below: so both sides of the
+    # join have a shuffle of their own, and Spark can split the rows of a large bucket.
+    crowded = shared.keep(member.groupBy("band").agg(F.count("*").alias("k")).where("k > 1"), "crowded-bands")
     near = F.sum("k").over(Window.partitionBy("node"))  # neighbours, counted in each band
     member = shared.keep(member.join(crowded, "band").withColumn("near", near).drop("k"), "band-members")
     active = member.select("node").distinct()
@@ -251,14 +253,14 @@ def near_groups(
     for nth in range(LEADER_ROUNDS):
         order = F.xxhash64(F.lit(nth), "node") if nth else -F.col("near")
         leaders = open_members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "n", "comp")).alias("l")).select("band", F.col("l.node").alias("a"), F.col("l.n").alias("n_b"), F.col("l.comp").alias("comp_b"))
-        pairs = open_members.join(leaders, "band").where((F.col("comp") != F.col("comp_b")) & fits)
+        pairs = open_members.join(shared.keep(leaders, "leaders"), "band").where((F.col("comp") != F.col("comp_b")) & fits)
         pairs = pairs.select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
         found = shared.keep(_verified(pairs, sets, percent), "links")
         edges = found if comp is None else comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)
         comp = components(edges)
         open_members = member.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = open_members.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-        open_members = shared.keep(open_members.join(mixed, "band"), "open-members")
+        open_members = shared.keep(open_members.join(shared.keep(mixed, "mixed-bands"), "band"), "open-members")
         if found.count() * LEADERS_GAIN < n_active:
             break
     last = shared.keep(_verified(_straggling_pairs(open_members, sets, percent), sets, percent), "links")

@@ -192,19 +192,51 @@ def test_sequences_follow_the_input_order(spark, docs, tmp_path):
 def test_token_store(spark, docs, none, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     token_store.write(docs, str(tmp_path / "s"), path)
-    want = dict(enumerate(_whole(path, TEXTS, 1)))
-    start = len(_whole(path, ["null id"], 1)[0])  # a null doc_id comes first
-    got = {r.doc_id: r for r in token_store.verify(spark, str(tmp_path / "s")).collect()}
-    whole = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in token_store.read(spark, str(tmp_path / "s")).collect()}
-    for i, ids in want.items():
-        r = got[i]
-        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        assert whole[i] == ids
-        start += len(ids)
+    rows = docs.collect()
+    ids = _whole(path, [r.text for r in rows], 1)
+    want = sorted((-1 if r.doc_id is None else r.doc_id, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r, x in zip(rows, ids))
+    got = token_store.verify(spark, str(tmp_path / "s")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    got.sort(key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    order = [-1 if r.doc_id is None else r.doc_id for r in got]  # a null doc_id comes first
+    assert order == sorted(order)
+    whole = sorted((-1 if r.doc_id is None else r.doc_id, np.frombuffer(r.ids, "<u2").tolist()) for r in token_store.read(spark, str(tmp_path / "s")).collect())
+    assert whole == sorted((-1 if r.doc_id is None else r.doc_id, x) for r, x in zip(rows, ids))
     token_store.write(none, str(tmp_path / "e"), path)
     assert token_store.verify(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_equal_documents_give_equal_chunks_anywhere():
+    r = np.random.default_rng(5)
+    doc = r.integers(0, 49000, 3000)
+    cuts = lambda before: [e - len(before) for e in token_store.chunk_ends(np.concatenate([before, doc]), np.array([len(before), len(before) + 3000]) if len(before) else np.array([3000])) if e > len(before)]
+    assert cuts(doc[:0]) == cuts(doc[:7]) == cuts(r.integers(0, 49000, 500)) and len(cuts(doc[:0])) > 3
+    flat = token_store.chunk_ends(np.zeros(10_000, np.int64), np.array([1, 10_000]))
+    assert np.diff(flat, prepend=0).max() <= token_store.LONGEST
+
+
+def test_token_store_finds_what_was_changed(spark, docs, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def changed(name, table, change):
+        token_store.write(docs, f"{tmp_path}/{name}", path)
+        old = spark.read.parquet(f"{tmp_path}/{name}/{table}")
+        change(old).write.parquet(f"{tmp_path}/{name}/new")
+        (tmp_path / name / table).rename(tmp_path / name / "old")
+        (tmp_path / name / "new").rename(tmp_path / name / table)
+        with pytest.raises(Exception, match="match|lack|part|missing"):
+            token_store.verify(spark, f"{tmp_path}/{name}").collect()
+
+    other = F.lit(b"0123456789abcdef")
+    changed("root", "manifest", lambda t: t.withColumn("root", F.when(F.col("part") == 0, other).otherwise(F.col("root"))))
+    changed("few", "manifest", lambda t: t.where("part < 0"))
+    changed("lost", "recipes", lambda t: t.where("doc_id != 5"))
+    changed("gone", "recipes", lambda t: t.where("part != 0"))
+    changed("digest", "recipes", lambda t: t.withColumn("digests", F.transform("digests", lambda d: F.when(F.col("doc_id") == 5, other).otherwise(d))))
+    changed("chunk", "entries", lambda t: t.withColumn("ids", F.when(F.col("kind") == "chunk", F.substring("ids", 1, 2)).otherwise(F.col("ids"))))
+
+
 def test_line_dedup(spark, docs, none):
     r = random.Random(4)
     base = ["".join(r.choice("abc") for _ in range(r.randrange(9, 30))) for _ in range(30)]

@@ -1,8 +1,8 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-Documents are counted over trigrams of character classes and over a few sums about repeated
-words and lines. A singular value decomposition of the labelled documents' weighted counts gives
-the latent space. The labelled vectors, bounded by ``PER_LABEL`` for each label, are broadcast;
+Documents are counted over hashed words, trigrams of character classes and a few sums about
+repeated words and lines. Words and trigrams are weighted by how few of all documents have them.
+A singular value decomposition of the labelled documents' weighted counts gives the latent space. The labelled vectors, bounded by ``PER_LABEL`` for each label, are broadcast;
 every document's cosine with all of them is computed in blocks, and the nearest vote with their
 similarity as weight.
 """
@@ -23,7 +23,7 @@ from keyloom.llm import tokens, words
 #: Labelled documents of each label that the model learns from, those with the least MD5 of
 #: their doc_id: the bound of what is broadcast.
 PER_LABEL = 2048
-DIMENSIONS, NEIGHBOURS, SHARPNESS = 32, 25, 8
+DIMENSIONS, NEIGHBOURS, SHARPNESS = 48, 25, 8
 BLOCK = 1024
 
 #: Classes of bytes: other white space, space, lower, upper, digit, beyond ASCII, ends of
@@ -35,7 +35,10 @@ for _k, _members in enumerate(
     _CLASSES[list(_members)] = _k
 _N = 12
 TRIGRAMS = _N**3
-WIDTH = TRIGRAMS + 8
+#: Words are counted in so many hashed places.
+WORDS = 512
+TERMS = TRIGRAMS + WORDS
+WIDTH = TERMS + 8
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -45,7 +48,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     raw = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     out = np.zeros((n, WIDTH), np.float32)
-    out[size == 0, TRIGRAMS:] = (0, 0, 0, 0, 0, 0, 1, 0.3)
+    out[size == 0, TERMS:] = (0, 0, 0, 0, 0, 0, 1, 0.3)
     if not len(raw):
         return out
     owner = np.repeat(np.arange(n), size)
@@ -56,6 +59,9 @@ def features(texts: list[bytes]) -> np.ndarray:
         out[:, :TRIGRAMS] = np.bincount((owner[:-2] * TRIGRAMS + code)[inside], minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
         out[:, :TRIGRAMS] = np.sqrt(out[:, :TRIGRAMS] / np.maximum(size, 1)[:, None])
     word, ends = words.word_hashes(texts)
+    counts = np.diff(ends, prepend=0)
+    place = np.repeat(np.arange(n), counts) * WORDS + (word >> np.uint64(32)).astype(np.int64) % WORDS
+    out[:, TRIGRAMS:TERMS] = np.sqrt(np.bincount(place, minlength=n * WORDS).reshape(n, WORDS) / np.maximum(counts, 1)[:, None])
     a = 0
     for i, (text, b) in enumerate(zip(texts, ends.tolist())):
         if not size[i]:
@@ -63,7 +69,7 @@ def features(texts: list[bytes]) -> np.ndarray:
         lines = text.split(b"\n")
         k = max(1, b - a)
         pairs = word[a : b - 1] * np.uint64(3) + word[a + 1 : b] if b - a > 1 else word[a:b]
-        out[i, TRIGRAMS:] = (
+        out[i, TERMS:] = (
             1 - len(set(lines)) / len(lines),
             1 - len(np.unique(word[a:b])) / k,
             1 - len(np.unique(pairs)) / max(1, len(pairs)),
@@ -106,24 +112,48 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
-def fit(rows: np.ndarray, label: np.ndarray, share: np.ndarray) -> Model:
+def fit(rows: np.ndarray, label: np.ndarray, share: np.ndarray, seen: np.ndarray, documents: int) -> Model:
+    """seen: how many of all documents have each feature."""
     prior = float((label * share).sum() / share.sum()) if len(label) else 0.5
     if not len(label):
         return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), label, share, prior)
-    seen = (rows > 0).sum(axis=0)
-    weight = np.where(seen > 0, np.log((1 + len(rows)) / (1 + seen)) + 0.5, 0.0).astype(np.float32)
-    weight[TRIGRAMS:] = 1.0
-    x = rows * weight
-    values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    basis = vectors[:, ::-1][:, : min(DIMENSIONS, len(rows))].astype(np.float32)
+    weight = np.where(seen > 0, np.log((1 + documents) / (1 + seen)) + 0.5, 0.0).astype(np.float32)
+    weight[TERMS:] = 1.0
+    basis = _leading((rows * weight).astype(np.float64), min(DIMENSIONS, len(rows))).astype(np.float32)
     model = Model(weight, basis, np.zeros((0, 1), np.float32), label.astype(np.float32), share.astype(np.float32), prior)
     model.vectors = model.project(rows).astype(np.float32)
     return model
 
 
+def _leading(x: np.ndarray, k: int) -> np.ndarray:
+    """The k leading right singular vectors of x, by subspace iteration from a fixed start."""
+    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((x.shape[1], k + 8)))[0]
+    for _ in range(12):
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
+    return basis @ np.linalg.svd(x @ basis, full_matrices=False)[2].T[:, :k]
+
+
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many documents each feature stands, over all documents, and their number. A row a
+    feature comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = np.zeros(WIDTH + 1, np.int64)
+            for a, b, rows in _rows(batch, 0):
+                seen += np.append((rows > 0).sum(axis=0), b - a)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(WIDTH + 1)), pa.array(seen)], names=["feature", "n"])
+
+    got = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(WIDTH + 1, np.int64)
+    for r in got:
+        out[r.feature] = r.n
+    return out[:-1], int(out[-1])
+
+
 def _rows(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, np.ndarray]]:
     texts = batch.column(at).fill_null("").to_pylist()
-    for a, b in tokens.slices(texts, 500_000):
+    for a, b in tokens.slices(texts, 250_000):
         yield a, b, features([t.encode("utf-8", "surrogatepass") for t in texts[a:b]])
 
 
@@ -134,8 +164,8 @@ def held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """docs: doc_id, text; labels: doc_id, quality. Learns from at most per_label labelled rows
-    for each of the labels 0 and 1, none of them held out. Only their features, of fixed
-    width, come to the driver."""
+    for each of the labels 0 and 1, none of them held out; weights are counted over all docs.
+    Only the labelled rows' features and the weights, of fixed width, come to the driver."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r.quality: r["count"] for r in usable.groupBy("quality").count().collect()}
     picked = None
@@ -143,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
         some = usable.where(F.col("quality") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(per_label)
         picked = some if picked is None else picked.union(some)
     if picked is None:
-        return fit(np.zeros((0, WIDTH), np.float32), np.zeros(0), np.zeros(0))
+        return fit(np.zeros((0, WIDTH), np.float32), np.zeros(0), np.zeros(0), np.zeros(WIDTH), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     share = np.array([counts[r.quality] for r in got], np.float64)
     for value in set(label.tolist()):
         share[label == value] /= (label == value).sum()
-    return fit(rows, label, share)
+    return fit(rows, label, share, *document_frequencies(docs))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:

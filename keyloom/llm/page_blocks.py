@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
 
-#: Content of these is never text.
-_SKIPPED = "script|style|noscript|template|iframe|object|svg|math|canvas|textarea|select|button|title"
+#: Content of these is never text, and its tags are none: it ends at the end tag or with the page.
+_RAW = "script|style|textarea|title|iframe|noscript"
+#: Content of these is never text either. One without an end tag behind it hides nothing; one
+#: whose end tag stands behind its parent's ends with the parent.
+_HIDDEN = frozenset("template object svg math canvas select button".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SKIPPED})\b[^>]*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
 )
+_HIDDEN_END = re.compile(rf"</({'|'.join(sorted(_HIDDEN))})(?=[\s/>])", re.I)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
@@ -52,6 +57,10 @@ class Page:
     parent: list[int] = field(default_factory=list)
     end: list[int] = field(default_factory=list)  # one behind the last block inside
     groups: list[int] = field(default_factory=list)  # bits
+    tokens: list[int] = field(default_factory=list)  # hashed words of attributes, as bits
+    depth: list[int] = field(default_factory=list)
+    above_kind: list[int] = field(default_factory=list)  # bits, of all blocks around
+    above_groups: list[int] = field(default_factory=list)
     chars: list[int] = field(default_factory=list)  # of the block's own text
     linked: list[int] = field(default_factory=list)  # of these, in links
     marks: list[int] = field(default_factory=list)  # of these, punctuation
@@ -59,42 +68,88 @@ class Page:
     runs: list[tuple[int, list[str]]] = field(default_factory=list)  # (block, its pieces of text)
 
 
-def _groups(attributes: str) -> int:
-    bits = 0
+#: Words of attributes are hashed to so many places, whether they are in a group or not.
+TOKEN_PLACES = 48
+
+
+def _attribute_words(attributes: str) -> tuple[int, int]:
+    """(bits of the groups, bits of the hashed places) of the words in class, id and role."""
+    groups = places = 0
     for m in _ATTRIBUTE.finditer(attributes):
         for w in _WORDS.findall(m[1] or m[2] or m[3] or ""):
             w = w.lower()
+            places |= 1 << zlib.crc32(w.encode()) % TOKEN_PLACES
             for g, words in enumerate(GROUPS):
                 if w in words:
-                    bits |= 1 << g
-    return bits
+                    groups |= 1 << g
+    return groups, places
+
+
+class _Open:
+    """The open elements, from the outermost in, and where those of each tag stand."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool]] = []  # tag, block, whether the block is its own
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, block: int, own: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, block, own))
+
+    def pop(self) -> tuple[str, int, bool]:
+        top = self.stack.pop()
+        self.places[top[0]].pop()
+        return top
+
+    def nearest(self, tags) -> int:
+        """Place of the innermost open element of these tags; 0, the page's own, without one."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
 
 
 def parse(html: str) -> Page:
-    """The tree of a page's blocks, forgiving as browsers are about tags left open."""
+    """The tree of a page's blocks, forgiving as browsers are about tags left open. Time and
+    space grow with the page's length alone, however deep its tags are."""
     page = Page()
-    stack: list[tuple[str, int]] = []
-    links, at, fresh = 0, 0, True
+    opened_now = _Open()
+    stack = opened_now.stack
+    links, at, fresh, hidden = 0, 0, True, 0
+    last_end: dict[str, int] = {}  # of hidden elements
+    for m in _HIDDEN_END.finditer(html):
+        last_end[m[1].lower()] = m.start()
 
     def opened(tag: str, attributes: str) -> None:
         nonlocal fresh
-        stack.append((tag, len(page.kind)))
-        page.parent.append(stack[-2][1] if len(stack) > 1 else -1)
+        up = stack[-1][1] if stack else -1
+        if hidden:
+            opened_now.push(tag, up, False)
+            return
+        opened_now.push(tag, len(page.kind), True)
+        page.parent.append(up)
+        page.depth.append(page.depth[up] + 1 if up >= 0 else 0)
+        page.above_kind.append(page.above_kind[up] | 1 << page.kind[up] if up >= 0 else 0)
+        page.above_groups.append(page.above_groups[up] | page.groups[up] if up >= 0 else 0)
         page.kind.append(_KIND[tag])
         page.end.append(0)
-        page.groups.append(_groups(attributes) if "=" in attributes else 0)
+        groups, places = _attribute_words(attributes) if "=" in attributes else (0, 0)
+        page.groups.append(groups)
+        page.tokens.append(places)
         for x in (page.chars, page.linked, page.marks, page.inline):
             x.append(0)
         fresh = True
 
     def closed(down_to: int) -> None:
-        nonlocal fresh
+        nonlocal fresh, hidden
         while len(stack) > down_to:
-            page.end[stack.pop()[1]] = len(page.kind)
+            tag, block, own = opened_now.pop()
+            if own:
+                page.end[block] = len(page.kind)
+            hidden -= tag in _HIDDEN
         fresh = True
 
     def text(raw: str) -> None:
         nonlocal fresh
+        if hidden:
+            return
         if "&" in raw:
             raw = unescape(raw)
         node = stack[-1][1]
@@ -119,19 +174,27 @@ def parse(html: str) -> Page:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in _HIDDEN:
+            if m[2]:
+                if place := opened_now.nearest((tag,)):
+                    broken = fresh
+                    closed(place)
+                    fresh = broken
+            elif last_end.get(tag, -1) > m.start() and not m[4].endswith("/"):
+                opened_now.push(tag, stack[-1][1], False)
+                hidden += 1
+            continue
         if tag not in _KIND:
             if tag == "a":
                 links = 0 if m[2] else 1
             elif tag == "br":
                 text(" ")
-            elif not m[2]:
+            elif not m[2] and not hidden:
                 page.inline[stack[-1][1]] += 1
             continue
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    closed(i)
-                    break
+            if place := opened_now.nearest((tag,)):
+                closed(place)
             fresh, links = True, 0
             continue
         if tag in ("html", "body"):
@@ -139,19 +202,11 @@ def parse(html: str) -> Page:
         links = 0 if tag != "li" else links
         if tag in _CLOSES:
             ends, around = _CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in around:
-                    break
-                if stack[i][0] in ends:
-                    closed(i)
-                    if tag != "tr":
-                        break
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in _AROUND_P:
-                break
-            if stack[i][0] == "p":
-                closed(i)
-                break
+            border = opened_now.nearest(around)
+            while (place := opened_now.nearest(ends)) > border:
+                closed(place)
+        if (place := opened_now.nearest(("p",))) > opened_now.nearest(_AROUND_P):
+            closed(place)
         opened(tag, m[4])
         if tag in _VOID or m[4].endswith("/"):
             closed(len(stack) - 1)
@@ -181,20 +236,8 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     all_chars, all_linked, all_marks, blocks = inside(chars), inside(linked), inside(marks), end - row
     tags = blocks + inside(inline)
-    depth, above_kind, above_groups = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    level = np.flatnonzero(~root)
-    by_parent = parent.copy()
-    # What stands above comes down level by level.
-    known = root.copy()
-    while len(level):
-        ready = level[known[by_parent[level]]]
-        up = by_parent[ready]
-        depth[ready] = depth[up] + 1
-        above_kind[ready] = above_kind[up] | (1 << kind[up])
-        above_groups[ready] = above_groups[up] | groups[up]
-        known[ready] = True
-        level = level[~known[level]]
-    order = np.bincount(by_parent[~root], minlength=n)  # children of each block
+    depth, above_kind, above_groups, places = map(join, ("depth", "above_kind", "above_groups", "tokens"))
+    order = np.bincount(parent[~root], minlength=n)  # children of each block
     siblings = np.where(root, 1, order[parent])
     first = np.zeros(n, np.int64)
     place = np.zeros(n, np.int64)
@@ -215,6 +258,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     columns += [(above_kind >> k) & 1 for k in (4, 5, 6, 7, 8, 9, 10, 11, 14)]
     columns += [(groups >> g) & 1 for g in range(len(GROUPS))]
     columns += [(above_groups >> g) & 1 for g in range(len(GROUPS))]
+    columns += [(places >> k) & 1 for k in range(TOKEN_PLACES)]
     return np.stack([np.asarray(c, np.float64) for c in columns], 1), np.where(root, -1, parent), ends
 
 
@@ -243,6 +287,7 @@ class Teacher:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.known = True  # whether attributes say what they hold, or a page's names mean nothing
 
     def words(self, low: int, high: int) -> str:
         r = self.r
@@ -254,7 +299,7 @@ class Teacher:
         return " ".join(self.words(3, 18).capitalize() + self.r.choice("...!?") for _ in range(self.r.randint(low, high)))
 
     def attribute(self, *names: str) -> str:
-        name = self.r.choice(names)
+        name = self.r.choice(names) if self.known else "".join(self.r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(self.r.randint(2, 9)))
         return self.r.choice((f' class="{name}"', f' id="{name}"', f' class="{self.r.choice(("l", "col", "x1", "wrap"))} {name}"', f' class="{name}-{self.r.choice(("box", "inner", "area"))}"'))
 
     def links(self, low: int, high: int) -> str:
@@ -311,6 +356,7 @@ class Teacher:
 
     def page(self) -> str:
         r = self.r
+        self.known = r.random() >= 0.2
         body = self.body()
         if r.random() < 0.3:
             body += self.noise(inside=True)

@@ -19,7 +19,7 @@ import numpy as np
 
 #: Bytes that a worker's memo of units may take, looked at after each slice of texts, and what
 #: an entry takes beside its characters; a bound on memory, not on what is encoded.
-MEMO_BYTES, ENTRY_BYTES = 48_000_000, 190
+MEMO_BYTES, ENTRY_BYTES = 64_000_000, 190
 
 _ODD = re.compile("[\x1c-\x1f]")
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?%*#$&|"
@@ -79,7 +79,8 @@ class UnitEncoder:
         whole, tokenize = [], self.tokenizer.model.tokenize
         for k, unit in enumerate(new):
             if _PLAIN(unit):
-                unit = (unit if self.spaces else unit.lower()).encode().decode("latin-1").translate(_BYTES)
+                unit = unit if self.spaces else unit.lower()
+                unit = unit.replace(" ", _BYTES[32]) if unit.isascii() else unit.encode().decode("latin-1").translate(_BYTES)
                 found[k] = [t.id for t in tokenize(unit)]
             else:
                 whole.append(k)

@@ -4,6 +4,7 @@ rows and clashing columns, against plain versions."""
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import block_names, curriculum, html_text, line_dedup, media, near_dup, packing, progressive, quality, sanitise, token_store, words
+from keyloom.llm import block_names, curriculum, html_text, line_dedup, media, near_dup, packing, page_blocks, progressive, quality, sanitise, token_store, words
 
 SCHEMA = "doc_id long, text string, source string, score double, node long"
 TEXTS = [None, "", " ", "one", "A b\tc", "a  b c", "Á" * 40 + "\x80" * 3, "x y " * 3000, "long line " * 9 + "\nshort\n" + "long line " * 9, "ab" * 5000, "a\x1cb c", "mail a.b@c.de now", "line one is quite long enough to count here\n" * 3, "a  <|endoftext|> b <|startoftext|>c<|EndOfText|>"]
@@ -342,3 +343,108 @@ def test_main_text(spark):
     assert [r.text for r in got if r.page_id == 1] == ["The title\n\nFirst & one\n\nSecond para, with words. And more."] * 2
     assert len(got) == len(rows) and all(r.text == "" for r in got if r.page_id in (2, 3))
     assert html_text.main_text(spark.createDataFrame([], "page_id long, html string, text string")).count() == 0
+
+
+def _all_blocks(html):
+    page = page_blocks.parse(html)
+    return page_blocks.blocks_of_text(page, np.ones(len(page.kind), bool))
+
+
+def test_nothing_of_a_page_is_lost():
+    assert _all_blocks("<p>A</p><svg-icon></svg-icon><p>B</p><button-group>c</button-group><select-box>d</select-box>") == ["A", "B", "cd"]
+    assert _all_blocks("<p>A</p><button>x<p>B</p>") == ["A", "x", "B"]  # without an end tag it hides nothing
+    assert _all_blocks("<p>A</p><button>x</button><p>B</p>") == ["A", "B"]
+    assert _all_blocks("<div><button>x<p>y</p></div><p>z</p><button>k</button>") == ["z"]  # its parent ends it
+    assert _all_blocks("<div>A<svg><title>t</title><text>no</text></svg> tail</div>") == ["A tail"]
+    assert _all_blocks("a<script>x</p>") == ["a"]
+
+
+def test_pages_of_many_open_tags_take_linear_time():
+    for html in ("<ul>" * 50_000, "<div>" * 50_000 + "<li></li>" * 20_000, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<p><b>" * 50_000, "<button>" * 50_000 + "</button>x", "<td><div>" * 50_000):
+        start = time.process_time()
+        page = page_blocks.parse(html)
+        page_blocks.features([page])
+        assert time.process_time() - start < 2
+
+
+def test_decoding_equals_the_best_of_all_choices():
+    r = random.Random(8)
+    for _ in range(200):
+        n = r.randrange(1, 9)
+        parent = np.array([-1] + [r.randrange(i) for i in range(1, n)])
+        margin = np.array([r.uniform(-2, 2) for _ in range(n)])
+        best = max(
+            (sum(margin[i] for i in range(1, n) if keep >> i & 1), keep)
+            for keep in range(1 << n)
+            if keep & 1 and all(not keep >> i & 1 or keep >> int(parent[i]) & 1 for i in range(1, n))
+        )
+        kept = page_blocks.decode(margin, parent)
+        assert kept[0] and abs(sum(margin[1:][kept[1:]]) - best[0]) < 1e-9
+        assert all(not kept[i] or kept[parent[i]] for i in range(1, n))
+
+
+def test_pages_with_attribute_words_never_learnt():
+    teacher, trees = page_blocks.Teacher(77), html_text.model()
+    for rename in (lambda x: x, lambda x: re.sub(r'(class|id)="([^"]*)"', lambda m: f'{m[1]}="{m[2][::-1]}"', x)):
+        right = wrong = missed = 0
+        for _ in range(60):
+            page = teacher.page()
+            want = sum(len(x) for x in _all_blocks(page) if "@" in x)
+            got = [x for x in html_text.extract([rename(page)], trees)[0].split("\n\n") if x]
+            mine = sum(len(x) for x in got if "@" in x)
+            right, wrong, missed = right + mine, wrong + sum(map(len, got)) - mine, missed + want - mine
+        assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.98
+
+
+def test_disclosing_terms_equal_plain_information(spark):
+    """Every (term, entity) pair by the formula itself."""
+    r = random.Random(9)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    rows = []
+    for i in range(300):
+        text = r.choices(vocabulary, [1 / (1 + k) for k in range(len(vocabulary))], k=r.randrange(3, 25))
+        if r.random() < 0.2:
+            text.insert(r.randrange(len(text)), f"{r.choice(vocabulary)}@x{r.randrange(12)}.org")
+        rows.append((i, " ".join(text)))
+    holds, entities = {}, {}
+    for i, t in rows:
+        for w in sanitise._terms(t):
+            holds.setdefault(w, set()).add(i)
+        for s in sanitise.base_spans(t):
+            entities.setdefault(sanitise._value(t, *s), set()).add(i)
+    n, s = len(rows), sanitise.SMOOTH
+    bad = set()
+    for w, a in holds.items():
+        for b in entities.values():
+            gain = np.log2(n * (len(a & b) + s) / ((len(a) + s) * (len(b) + s)))
+            if a & b and gain > 0 and gain >= sanitise.SHARE * np.log2(n / (len(b) + s)):
+                bad.add(w)
+    assert bad
+    for x in sanitise.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = rows[x.doc_id][1]
+        inside = [(a, b) for a, _, b in sanitise.base_spans(text)]
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer("[a-z]{3,}", text) if m[0] in bad and not any(m.start() < b and a < m.end() for a, b in inside)]
+        assert [p for p in x.spans.split(",") if p.startswith("term")] == want
+
+
+def test_votes_equal_plain_neighbours():
+    g = np.random.default_rng(4)
+    label = (g.random(90) < 0.6).astype(float)
+    rows = np.abs(g.standard_normal((130, quality.WIDTH))).astype(np.float32)
+    model = quality.fit(rows[:90], label, np.ones(90), (rows > 1).sum(0), 130)
+    got = model.scores(rows)
+    unit = lambda v: v / np.linalg.norm(v)
+    space = [unit((x * model.weight) @ model.basis) for x in rows]
+    for x, score in zip(space, got):
+        cosine = np.array([x @ y for y in space[:90]])
+        near = np.argsort(-cosine)[: quality.NEIGHBOURS]
+        vote = np.maximum(cosine[near], 0) ** quality.SHARPNESS
+        assert abs(score - (vote * label[near]).sum() / vote.sum()) < 1e-3
+
+
+def test_blank_texts_are_scored_by_themselves(spark):
+    words = "alpha beta gamma delta eps zeta eta theta".split()
+    rows = [(i, "" if i % 4 == 0 else " ".join(random.Random(i).choices(words, k=30)) + ".") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(200)], "doc_id long, quality int")
+    assert all(r.predicted == int(r.doc_id % 4 > 0) for r in quality.classify(docs, labels).collect())

@@ -12,12 +12,13 @@ which the library turns into that token, go to the library whole.
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-#: Bytes that a worker's memo of units may take, looked at after each slice of texts, and what
+#: Bytes that a worker's memo of units may take, looked at after each text, and what
 #: an entry takes beside its characters; a bound on memory, not on what is encoded.
 MEMO_BYTES, ENTRY_BYTES = 64_000_000, 190
 
@@ -41,16 +42,25 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 
 
+def _latin(text: str) -> bool:
+    """Whether normalisation changes a text in the case of its letters alone."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Memo(dict):
-    """Unit -> its number; an unseen unit gets the next number and is put down in ``new``."""
+    """Unit -> its ids as 16-bit integers; an unseen unit is encoded and remembered."""
 
-    def __init__(self):
-        self.new: list[str] = []
+    def __init__(self, encode: Callable[[str], list[int]]):
+        self.encode, self.held = encode, 0
 
-    def __missing__(self, unit: str) -> int:
-        self[unit] = at = len(self)
-        self.new.append(unit)
-        return at
+    def __missing__(self, unit: str) -> bytes:
+        self[unit] = ids = array("H", self.encode(unit)).tobytes()
+        self.held += len(unit) + len(ids) + ENTRY_BYTES
+        return ids
 
 
 class UnitEncoder:
@@ -64,56 +74,35 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaces, self.units = spaces, (_SPACED if spaces else _BARE).findall
-        self._forget()
-
-    def _forget(self) -> None:
-        self.memo, self.ids, self.ends, self.held = _Memo(), np.zeros(0, np.uint16), np.zeros(1, np.int64), 0
-
-    def _learn(self) -> None:
-        """Appends the ids of the units not seen before to the table."""
-        new, self.memo.new = self.memo.new, []
-        self.held += sum(map(len, new)) + ENTRY_BYTES * len(new)
-        found: list = [None] * len(new)
-        whole, tokenize = [], self.tokenizer.model.tokenize
-        for k, unit in enumerate(new):
-            if _PLAIN(unit):
-                unit = unit if self.spaces else unit.lower()
-                unit = unit.replace(" ", _BYTES[32]) if unit.isascii() else unit.encode().decode("latin-1").translate(_BYTES)
-                found[k] = [t.id for t in tokenize(unit)]
-            else:
-                whole.append(k)
-        for k, code in zip(whole, self.tokenizer.encode_batch_fast([new[k] for k in whole], add_special_tokens=False)):
-            found[k] = code.ids
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint16, sizes.sum())])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.memo = _Memo(self._unit)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _unit(self, unit: str) -> list[int]:
+        if not _PLAIN(unit):
+            return self._whole(unit)
+        unit = unit if self.spaces else unit.lower()
+        unit = unit.replace(" ", _BYTES[32]) if unit.isascii() else unit.encode().decode("latin-1").translate(_BYTES)
+        return [t.id for t in self.model.tokenize(unit)]
+
+    def _ids(self, text: str) -> bytes:
+        if _ODD.search(text) or any(a in text for a in self.added):
+            return array("H", self._whole(text)).tobytes()
+        if not self.spaces and _latin(text):
+            text = text.lower()  # so that units with capitals and without are the same
+        if self.memo.held > MEMO_BYTES:
+            self.memo = _Memo(self._unit)
+        memo = self.memo
+        return b"".join([memo[unit] for unit in self.units(text)])  # faster than map with a class of its own
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, number of ids of each text)."""
-        if self.held > MEMO_BYTES:
-            self._forget()
-        parts = [self.units(text) for text in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(parts)), np.int32, counts.sum())
-        del parts
-        if self.memo.new:
-            self._learn()
-        start = self.ends[at]
-        size = self.ends[at + 1] - start
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.arange(total[-1]) + np.repeat(start - total[:-1], size)]
-        edges = total[np.concatenate([[0], np.cumsum(counts)])]
-        lengths = np.diff(edges)
-        whole = {k for k, text in enumerate(texts) if _ODD.search(text) or any(a in text for a in self.added)}
-        if whole:
-            pieces = [
-                np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16) if k in whole else ids[edges[k] : edges[k + 1]]
-                for k, text in enumerate(texts)
-            ]
-            ids, lengths = np.concatenate(pieces), np.array([len(p) for p in pieces], np.int64)
-        return ids, lengths
+        raw = [self._ids(text) for text in texts]
+        return np.frombuffer(b"".join(raw), np.uint16), np.array([len(r) // 2 for r in raw], np.int64)
 
 
 @lru_cache(maxsize=2)

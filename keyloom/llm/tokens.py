@@ -27,7 +27,7 @@ _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?%*#$&|"
 _WORD = f"[{_LETTERS}]+(?=[\\s{_SIGNS}]|\\Z)|[{_SIGNS}]+(?=\\s|\\Z)"
 #: With the space before a word, or white space less the one that goes with the next word.
 _SPACED = re.compile(rf" ?(?:{_WORD}|\S+)|\s+(?!\S)|\s")
-_BARE = re.compile(rf"{_WORD}|\S+")
+_BARE = re.compile(rf"{_WORD}|\S+").findall
 _PLAIN = re.compile(f" ?[{_LETTERS}]+").fullmatch
 
 
@@ -76,7 +76,7 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaces, self.units = spaces, (_SPACED if spaces else _BARE).findall
+        self.spaces, self.units = spaces, _SPACED.findall if spaces else str.split
         self.memo = _Memo(self._unit)
 
     def _whole(self, text: str) -> list[int]:
@@ -84,7 +84,8 @@ class UnitEncoder:
 
     def _unit(self, unit: str) -> list[int]:
         if not _PLAIN(unit):
-            return self._whole(unit)
+            parts = [unit] if self.spaces else _BARE(unit)
+            return self._whole(unit) if len(parts) == 1 else array("H", b"".join([self.memo[part] for part in parts]))
         unit = unit if self.spaces else unit.lower()
         unit = unit.replace(" ", _BYTES[32]) if unit.isascii() else unit.encode().decode("latin-1").translate(_BYTES)
         return [t.id for t in self.model.tokenize(unit)]

@@ -90,3 +90,10 @@ def owner_hash(node: Column, chars: int = 10) -> Column:
         return F.concat(*(F.substring(F.lit(OWNER_LETTERS), p + 1, F.lit(1)) for p in places))
 
     return F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), letters), ""), 1, chars)
+
+
+def lenient(text: Column, size: int) -> Column:
+    """A key of ``size`` bytes from the pairs of hex digits from the left; a pair that is none,
+    or is not there, is a byte 0. As lower-case hex."""
+    pair = lambda i: F.lower(F.substring(text, 2 * i + 1, 2))
+    return F.concat(*(F.when(pair(i).rlike("^[0-9a-f]{2}$"), pair(i)).otherwise("00") for i in range(size)))

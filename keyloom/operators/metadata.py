@@ -39,3 +39,28 @@ def space(volumes: DataFrame) -> DataFrame:
     """total, free (available blocks) and used (total less free blocks) over all volumes."""
     size = F.col("block_size")
     return volumes.agg(F.sum(F.col("blocks") * size).alias("total"), F.sum(F.col("available") * size).alias("free"), F.sum((F.col("blocks") - F.col("free")) * size).alias("used"))
+
+
+def corrupted(disks: DataFrame) -> DataFrame:
+    """disks: is_alien, corrupted. Corrupted blobs of all normal disks."""
+    return disks.agg(F.coalesce(F.sum(F.when(~F.col("is_alien"), F.col("corrupted"))), F.lit(0)).alias("corrupted"))
+
+
+def memory(holders: DataFrame) -> DataFrame:
+    """holders: disk, index_bytes, filter_bytes. Memory of indexes and filters by disk."""
+    return holders.groupBy("disk").agg(F.sum("index_bytes").alias("index_memory"), F.sum("filter_bytes").alias("filter_memory"))
+
+
+def active_disks(states: DataFrame) -> DataFrame:
+    """states: disk, state. How many disks there are, and how many are ready."""
+    return states.agg(F.count("*").alias("disks"), F.count_if(F.col("state") == "Ready").alias("active"))
+
+
+def nodes_available(pings: DataFrame) -> DataFrame:
+    """pings: round, node, ok. All nodes of a round less those that failed."""
+    return pings.groupBy("round").agg((F.count("*") - F.count_if(~F.col("ok"))).alias("available"))
+
+
+def present(found: DataFrame) -> DataFrame:
+    """found: packet, found. How many keys of each packet of an existence check are there."""
+    return found.groupBy("packet").agg(F.count("*").alias("asked"), F.count_if("found").alias("present"))

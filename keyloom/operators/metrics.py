@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,7 +59,7 @@ def disk_load(samples: DataFrame) -> DataFrame:
 def iowait(cpu: DataFrame) -> DataFrame:
     """cpu: line ('cpu a b c …'). The fifth number's share of their sum, in percent."""
     n = F.transform(F.filter(F.split("line", r"\s+"), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("long"))
-    return cpu.select((F.get(n, F.lit(4)) * 100.0 / F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)).alias("iowait"))
+    return cpu.select(*(c for c in cpu.columns if c != "line"), (F.get(n, F.lit(4)) * 100.0 / F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)).alias("iowait"))
 
 
 def throughput(ops: DataFrame) -> DataFrame:
@@ -80,3 +80,20 @@ def averages(ops: DataFrame) -> DataFrame:
 def rate_limited(errors: DataFrame, code: str, interval: int) -> DataFrame:
     """One line for each error in each interval: how often, and when last."""
     return errors.groupBy(code, (F.floor(F.col("ts") / interval) * interval).alias("since")).agg(F.count("*").alias("times"), F.max("ts").alias("last"))
+
+
+#: Operations and layers that are counted and timed, and gauges; fixed names.
+OPERATIONS, LAYERS = ("put", "get", "exist", "delete"), ("cluster_grinder", "client")
+GAUGES = (
+    "link_manager.nodes_number", "backend.backend_state", "backend.blob_count", "backend.corrupted_blob_count", "backend.bloom_filters_ram", "backend.alien_count", "backend.index_memory", "backend.active_disks",
+    "backend.disks", "hardware.disks", "backend.used_disk", "hardware.descr_amount", "hardware.cpu_iowait", "hardware.available_ram", "hardware.used_ram", "hardware.total_ram", "hardware.used_swap",
+    "hardware.free_space", "hardware.used_space", "hardware.total_space",
+)
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """name and kind of every metric: for each layer and operation a counter, an error counter
+    and a timer, for existence checks their keys too; and the gauges."""
+    ops = [(f"{layer}.{op}_{what}", "timer" if what == "timer" else "counter") for layer in LAYERS for op in OPERATIONS for what in ("count", "error_count", "timer")]
+    keys = [(f"{layer}.exist_{what}", "counter") for layer in LAYERS for what in ("keys_count", "error_keys_count")]
+    return spark.createDataFrame(ops + keys + [(g, "gauge") for g in GAUGES], "name string, kind string")

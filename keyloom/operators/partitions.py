@@ -29,16 +29,18 @@ def parse_name(text: Column) -> tuple[Column, Column]:
     return F.get(parts, F.lit(0)).try_cast("long"), F.get(parts, F.lit(1))
 
 
-def assign(records: DataFrame, holders: DataFrame, ts: str = "ts", slot: int = DAY) -> DataFrame:
-    """Each record with the latest-starting holder [start_ts, end_ts) of its vdisk_id around it.
+def assign(records: DataFrame, holders: DataFrame, ts: str = "ts") -> DataFrame:
+    """Each record with the latest-starting holder [start_ts, end_ts) of its vdisk_id around it;
+    records without one are left out.
 
-    An interval join by time slots: a holder stands in every slot it touches, a record in one,
-    so the join is by equality and no record meets all holders.
+    The holders of a virtual disk, one a period, are gathered into an array, and the record
+    looks its own up there: records are joined by vdisk_id once, or not shuffled at all where
+    Spark broadcasts the holders, and equal records stay apart.
     """
-    slots = holders.withColumn("slot", F.explode(F.sequence(F.floor(F.col("start_ts") / slot), F.floor((F.col("end_ts") - 1) / slot))))
-    placed = records.withColumn("slot", F.floor(F.col(ts) / slot))
-    around = (F.col(ts) >= F.col("start_ts")) & (F.col(ts) < F.col("end_ts"))
-    return placed.join(slots, ["vdisk_id", "slot"]).where(around).groupBy(*records.columns).agg(F.max("start_ts").alias("start_ts"))
+    held = holders.groupBy("vdisk_id").agg(F.collect_list(F.struct("start_ts", "end_ts")).alias("held"))
+    around = F.filter("held", lambda h: (F.col(ts) >= h["start_ts"]) & (F.col(ts) < h["end_ts"]))
+    placed = records.join(held, "vdisk_id").withColumn("start_ts", F.array_max(F.transform(around, lambda h: h["start_ts"])))
+    return placed.where("start_ts IS NOT NULL").select(*records.columns, "start_ts")
 
 
 def gap_step(starts: DataFrame, period: int, now: int) -> DataFrame:
@@ -62,15 +64,41 @@ def ages(parts: DataFrame, period: int, now: int, max_records: int) -> DataFrame
 def closing_order(parts: DataFrame, hard: int, soft: int) -> DataFrame:
     """Which ended, idle partitions to close, best first: small ones by latest end, then the
     others by latest end. The first ``hard`` close in any case; after them ``soft`` more, but
-    none once a small one comes up."""
-    order = Window.orderBy(F.desc("small"), F.desc("start_ts"), "vdisk_id")
-    ranked = parts.where("outdated AND idle").withColumn("turn", F.row_number().over(order))
-    stops = F.coalesce(F.max(F.col("small") & (F.col("turn") > hard)).over(order), F.lit(False))
-    return ranked.withColumn("close", (F.col("turn") <= hard) | ((F.col("turn") <= hard + soft) & ~stops))
+    none once a small one comes up.
+
+    Turns are counted from the numbers of partitions by (small, start_ts), a row for each
+    period; these alone are ordered in one task.
+    """
+    open_parts = parts.where("outdated AND idle")
+    of = ["small", "start_ts"]
+    before = Window.orderBy(F.desc("small"), F.desc("start_ts")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = open_parts.groupBy(*of).agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    nth = F.row_number().over(Window.partitionBy(*of).orderBy("vdisk_id"))
+    ranked = open_parts.withColumn("nth", nth).join(firsts, of).withColumn("turn", (F.col("first") + F.col("nth")).cast("int")).drop("nth", "first")
+    stop = ranked.where(F.col("small") & (F.col("turn") > hard)).agg(F.min("turn").alias("stop"))
+    stops = F.coalesce(F.col("turn") >= F.col("stop"), F.lit(False))
+    return ranked.join(F.broadcast(stop)).withColumn("close", (F.col("turn") <= hard) | ((F.col("turn") <= hard + soft) & ~stops)).drop("stop")  # one row
 
 
 def release(parts: DataFrame, limit: int) -> DataFrame:
-    """Releases the oldest partitions, level 0 before 1, until the memory left is within limit."""
-    order = Window.orderBy("level", "start_ts", "vdisk_id").rowsBetween(Window.unboundedPreceding, -1)
-    everything = F.sum("memory").over(Window.partitionBy(F.lit(1)))
-    return parts.withColumn("released", everything - F.coalesce(F.sum("memory").over(order), F.lit(0)) > limit)
+    """Releases the oldest partitions, level 0 before 1, until the memory left is within limit.
+    Sums run over the totals by (level, start_ts), a row for each period, then within these."""
+    of = ["level", "start_ts"]
+    before = Window.orderBy(*of).rowsBetween(Window.unboundedPreceding, -1)
+    everything = F.sum("total").over(Window.partitionBy(F.lit(1)))
+    totals = parts.groupBy(*of).agg(F.sum("memory").alias("total"))
+    left = totals.select(*of, (everything - F.coalesce(F.sum("total").over(before), F.lit(0))).alias("left"))
+    inside = F.coalesce(F.sum("memory").over(Window.partitionBy(*of).orderBy("vdisk_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("inside", inside).join(left, of).withColumn("released", F.col("left") - F.col("inside") > limit).drop("left", "inside")
+
+
+def group_matches(alien: Column, vdisk_id: Column, node: Column, disk: Column, of: dict[str, Column]) -> Column:
+    """Whether a group of partitions serves an operation (of: alien, vdisk_id, node, disk): an
+    alien one by virtual disk and, if one is asked for, owner; another by virtual disk and disk."""
+    return (of["vdisk_id"] == vdisk_id) & F.when(of["alien"], alien & (of["node"].isNull() | of["node"].eqNullSafe(node))).otherwise(~alien & of["disk"].eqNullSafe(disk))
+
+
+def controller_matches(alien: Column, owns: Column, of: dict[str, Column]) -> Column:
+    """Whether a disk serves an operation: the alien one all alien operations, another those of
+    virtual disks it owns, whatever disk they name."""
+    return F.when(of["alien"], alien).otherwise(~alien & owns)

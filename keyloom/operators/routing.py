@@ -45,8 +45,10 @@ def support_nodes(targets: DataFrame, nodes: DataFrame, available: DataFrame, co
     each group round robin in node order from the offset-th available."""
     states = nodes.join(available, "name")
     vdisks = targets.select("vdisk_id").distinct()
-    # Each virtual disk meets every node of the topology once: the nodes are a dimension.
-    others = vdisks.join(F.broadcast(states)).join(targets.select("vdisk_id", F.col("node").alias("name")), ["vdisk_id", "name"], "left_anti")
+    # Each virtual disk meets every node of the topology once: the nodes are a dimension, and
+    # gathered in one row.
+    every = states.agg(F.collect_list(F.struct(*states.columns)).alias("every"))
+    others = vdisks.join(F.broadcast(every)).select("vdisk_id", F.explode("every").alias("s")).select("vdisk_id", "s.*").join(targets.select("vdisk_id", F.col("node").alias("name")), ["vdisk_id", "name"], "left_anti")
     by_index = Window.partitionBy("vdisk_id").orderBy("idx")
     n = F.count_if("available").over(Window.partitionBy("vdisk_id"))
     nth = F.count_if("available").over(by_index.rowsBetween(Window.unboundedPreceding, 0)) - 1
@@ -56,6 +58,26 @@ def support_nodes(targets: DataFrame, nodes: DataFrame, available: DataFrame, co
     return turned.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= count).select("vdisk_id", "turn", "name", "available")
 
 
+def remaining(ops: DataFrame, nodes: DataFrame, used: DataFrame) -> DataFrame:
+    """op, node: for each op the nodes (name) it has not used (op, node)."""
+    names = nodes.agg(F.collect_set("name").alias("names"))  # one row: the topology
+    every = ops.join(F.broadcast(names)).select("op", F.explode("names").alias("node"))
+    return every.join(used.distinct(), ["op", "node"], "left_anti")
+
+
+def hosted_aliens(records: DataFrame, replicas: DataFrame) -> DataFrame:
+    """Alien records whose owner really hosts their virtual disk."""
+    hosts = replicas.select(F.col("node").alias("owner_node"), "vdisk_id").distinct()
+    return records.where("source = 'alien'").join(hosts, ["owner_node", "vdisk_id"], "left_semi")
+
+
+def old_first(nodes: DataFrame, old: DataFrame, of: str) -> DataFrame:
+    """Adds turn: the place of each node (name, idx) within its ``of``, those that stood in the
+    old topology before new ones."""
+    marked = nodes.join(old.select("name", F.lit(True).alias("was")), "name", "left").withColumn("was", F.coalesce("was", F.lit(False)))
+    return marked.withColumn("turn", F.row_number().over(Window.partitionBy(of).orderBy(F.desc("was"), "idx")))
+
+
 def hand_off(failed: DataFrame, support: DataFrame) -> DataFrame:
     """failed: op, node. support: op, node. Pairs them by position within each operation; what
     finds no partner stays with the local node (null helper)."""

@@ -48,12 +48,43 @@ def violations(nodes: DataFrame, disks: DataFrame, replicas: DataFrame, vdisks:
             said(nodes.where(empty("name")), "empty node name", "address"),
             said(nodes.where(empty("address")), "empty address", "name"),
             said(disks.where(empty("disk", "path")), "empty disk name or path", "node"),
+            said(replicas.where(empty("node", "disk")), "replica without node or disk", "vdisk_id"),
+            said(vdisks.where(F.col("id").isNull()), "virtual disk without id", "id"),
+            said(nodes.agg(F.count("*").alias("n")).where("n = 0"), "no nodes", "n"),
+            said(vdisks.agg(F.count("*").alias("n")).where("n = 0"), "no virtual disks", "n"),
             said(duplicates(nodes, "name"), "duplicate node", "name"),
             said(duplicates(disks, "node", "disk"), "duplicate disk", "node", "disk"),
             said(duplicates(vdisks, "id"), "duplicate virtual disk", "id"),
             said(id_gaps(vdisks).where("problem = 'gap'"), "gap before virtual disk", "id"),
             said(duplicates(replicas, "vdisk_id", "node", "disk"), "duplicate replica", "vdisk_id", "node", "disk"),
-            said(routing.dangling(replicas, disks), "replica on unknown disk", "vdisk_id", "node", "disk"),
+            said(routing.dangling(replicas.where(~empty("node", "disk")), disks), "replica on unknown disk", "vdisk_id", "node", "disk"),
             said(vdisks.join(replicas, vdisks.id == replicas.vdisk_id, "left_anti"), "virtual disk without replicas", "id"),
         ],
     )
+
+
+def user_violations(users: DataFrame, roles: DataFrame, hash_digits: int = 128) -> DataFrame:
+    """users: username, password, password_hash, role. roles: role. What is wrong with them: a
+    name twice, neither or both of password and hash, a hash of another length, an unknown role."""
+    said = lambda df, rule: df.select(F.lit(rule).alias("rule"), F.col("username").cast("string").alias("subject"))
+    checks = [
+        said(duplicates(users, "username"), "duplicate user"),
+        said(users.where(F.col("password").isNull() == F.col("password_hash").isNull()), "not one of password and hash"),
+        said(users.where(F.length("password_hash") != hash_digits), "hash of wrong length"),
+        said(users.where(F.col("role").isNotNull()).join(roles, "role", "left_anti"), "unknown role"),
+    ]
+    return reduce(DataFrame.unionByName, checks)
+
+
+def node_violations(configs: DataFrame) -> DataFrame:
+    """configs: node, quorum, replicas, timeout_ms, check_interval_ms, count_interval_ms, policy.
+    What is wrong with each node's own configuration."""
+    rules = {
+        "no quorum": F.col("quorum") < 1,
+        "quorum above replicas": F.col("quorum") > F.col("replicas"),
+        "no timeout": F.coalesce(F.col("timeout_ms") <= 0, F.lit(True)),
+        "no interval": F.coalesce((F.col("check_interval_ms") <= 0) | (F.col("count_interval_ms") <= 0), F.lit(True)),
+        "unknown policy": ~F.coalesce(F.col("policy").isin("quorum", "simple"), F.lit(False)),
+    }
+    said = F.array_compact(F.array(*(F.when(wrong, F.lit(rule)) for rule, wrong in rules.items())))
+    return configs.select("node", F.explode(said).alias("rule"))

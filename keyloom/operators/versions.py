@@ -6,7 +6,7 @@ a hot key costs one row a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,7 +42,9 @@ def tiered(log: DataFrame) -> DataFrame:
 
 def exists(wanted: DataFrame, log: DataFrame, sources: tuple[str, ...] = ("normal", "alien")) -> DataFrame:
     """EXIST: wanted (position, key) with found, by position; a key may be asked for twice."""
-    alive = live(log.where(F.col("source").isin(*sources))).select("key", F.lit(True).alias("hit"))
+    # The log is cut down to the keys asked for before it is aggregated.
+    asked = log.where(F.col("source").isin(*sources)).join(wanted.select("key").distinct(), "key", "left_semi")
+    alive = live(asked).select("key", F.lit(True).alias("hit"))
     return wanted.join(alive, "key", "left").select("position", "key", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
@@ -73,7 +75,7 @@ def delete_effect(log: DataFrame, at: DataFrame) -> DataFrame:
 
 def after_deletes(log: DataFrame) -> DataFrame:
     """Each live key with how many of its records the tombstones before it cover."""
-    w = Window.partitionBy("key")
-    marked = log.withColumn("last_delete", F.max(F.when(F.col("is_tombstone"), F.struct("ts", "seq"))).over(w))
+    last = log.where("is_tombstone").groupBy("key").agg(F.max(F.struct("ts", "seq")).alias("last_delete"))
+    marked = log.join(last, "key", "left")
     newer = F.col("last_delete").isNull() | (F.struct("ts", "seq") > F.col("last_delete"))
     return marked.where(~F.col("is_tombstone")).groupBy("key").agg(F.count_if(newer).alias("alive"), F.count_if(~newer).alias("covered"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import keys, values
-from keyloom.operators import access, cluster, metadata, metrics, partitions, routing, validation, versions
+from keyloom.operators import access, cluster, metadata, metrics, partitions, requests, routing, validation, versions
 from keyloom.plans import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,9 +351,10 @@ def adjacent_duplicates(spark, d):
     return validation.adjacent_duplicates(inputs.table(spark, d, "customer").select(F.col("c_nationkey").alias("id")), "id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority < '3')")
 def subset_difference(spark, d):
-    return validation.missing(inputs.table(spark, d, "customer"), inputs.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    orders = inputs.table(spark, d, "orders").where("o_orderstatus = 'F' AND o_orderpriority < '3'")
+    return validation.missing(inputs.table(spark, d, "customer"), orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query(f"""WITH {REPLICAS}, {DISKS} SELECT 'replica on unknown disk' AS rule, vdisk_id || '/' || r.node || '/' || r.disk AS subject FROM replicas r WHERE r.node = 'n3' AND r.disk = 'd1'
@@ -464,9 +465,7 @@ def disk_load(spark, d):
 @query("SELECT p_partkey, p_partkey % 7 * 100.0 / (p_size + p_partkey % 13 + 5 + 1000 + p_partkey % 7 + 3) AS iowait FROM part")
 def cpu_iowait(spark, d):
     line = F.concat_ws(" ", F.lit("cpu "), F.col("p_size"), F.col("p_partkey") % 13, F.lit(5), F.lit(1000), F.col("p_partkey") % 7, F.lit(3))
-    n = inputs.table(spark, d, "part").select("p_partkey", line.alias("line"))
-    words = F.transform(F.filter(F.split("line", r"\s+"), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("long"))
-    return n.select("p_partkey", (F.get(words, F.lit(4)) * 100.0 / F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + x)).alias("iowait"))
+    return metrics.iowait(inputs.table(spark, d, "part").select("p_partkey", line.alias("line")))
 
 
 @query(f"WITH {LOG} SELECT ts AS second, count(*) AS ops, round(avg(payload), 6) AS mean_value FROM log GROUP BY ts")
@@ -565,13 +564,205 @@ def packet_batches(spark, d):
     return inputs.table(spark, d, "customer").select("c_custkey", F.expr("0L").alias("_"), F.row_number().over(w).alias("n")).select("c_custkey", F.expr("(n - 1) div 10").alias("packet"))
 
 
+# Requests for many keys, and what writes and deletes leave
+
+_WANTED = "wanted AS (SELECT c_custkey AS position, c_custkey % 1500 AS key FROM customer)"
+
+
+def _wanted(spark, d):
+    return inputs.table(spark, d, "customer").select(F.col("c_custkey").alias("position"), (F.col("c_custkey") % 1500).alias("key"))
+
+
+@query(f"""WITH {LOG}, {_WANTED}, v AS (SELECT *, row_number() OVER (PARTITION BY key, tier, replica ORDER BY ts DESC, seq DESC) AS rn FROM log),
+    r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tier, replica) AS first FROM v WHERE rn = 1 AND NOT is_tombstone)
+    SELECT position, w.key, tier, ts, seq, payload FROM wanted w JOIN r ON r.key = w.key AND first = 1""")
+def get_keys(spark, d):
+    return requests.get(_wanted(spark, d), _log(spark, d)).where("tier IS NOT NULL")
+
+
+@query(f"""WITH {LOG}, {_WANTED}, v AS (SELECT *, row_number() OVER (PARTITION BY key, tier ORDER BY ts DESC, seq DESC) AS rn FROM log),
+    t AS (SELECT key, min(tier) AS tier FROM v WHERE rn = 1 AND NOT is_tombstone GROUP BY key) SELECT position, w.key, tier FROM wanted w LEFT JOIN t ON t.key = w.key""")
+def exists_cascade(spark, d):
+    return requests.exists_cascade(_wanted(spark, d), _log(spark, d))
+
+
+@query(f"""WITH {LOG}, {_LIVE} SELECT c_custkey + 1000000 AS key, CAST(1800000000 AS BIGINT) AS ts, c_custkey AS seq, false AS is_tombstone, payload FROM customer JOIN live l ON l.key = c_custkey % 200""")
+def copy_objects(spark, d):
+    copies = inputs.table(spark, d, "customer").select((F.col("c_custkey") % 200).alias("key"), (F.col("c_custkey") + 1000000).alias("to_key"), F.lit(1800000000).cast("long").alias("ts"), F.col("c_custkey").alias("seq"))
+    return requests.copied(_log(spark, d), copies)
+
+
+def _tombstone_sql(by: str, where: str, forced: str) -> str:
+    return f"""WITH {LOG}, del AS (SELECT key, {by}, max(ts) AS delete_ts, {forced} AS forced FROM log WHERE {where} GROUP BY key, {by}),
+    h AS (SELECT key, {by}, ts - ts % 86400 AS start_ts, arg_max(is_tombstone, (ts, seq)) AS dead FROM log WHERE {where} GROUP BY ALL)
+    SELECT key, {by}, start_ts, delete_ts AS ts FROM h JOIN del USING (key, {by}) WHERE NOT dead AND CASE WHEN forced THEN start_ts < delete_ts - delete_ts % 86400 ELSE start_ts < delete_ts END
+    UNION ALL SELECT key, {by}, delete_ts - delete_ts % 86400, delete_ts FROM del WHERE forced"""
+
+
+def _tombstones(spark, d, by, where, forced):
+    log = _log(spark, d).where(where)
+    deletes = log.groupBy("key", by).agg(F.max("ts").alias("delete_ts")).withColumn("forced", forced)
+    return requests.tombstones(log, deletes, _day(), (by,))
+
+
+@query(_tombstone_sql("vdisk_id", "true", "key % 2 = 0"))
+def delete_tombstones(spark, d):
+    """Deletes of every key at its last time, forced for even keys."""
+    return _tombstones(spark, d, "vdisk_id", "true", F.col("key") % 2 == 0)
+
+
+@query(_tombstone_sql("disk", "source = 'normal'", "true"))
+def delete_on_each_disk(spark, d):
+    return _tombstones(spark, d, "disk", "source = 'normal'", F.lit(True))
+
+
+@query(_tombstone_sql("owner_node", "source = 'alien'", "owner_node = 'n1'"))
+def delete_aliens_by_owner(spark, d):
+    return _tombstones(spark, d, "owner_node", "source = 'alien'", F.col("owner_node") == "n1")
+
+
+_SUPPORT = """support AS (SELECT op, 'n' || ((op + 2) % 4) AS node FROM (SELECT DISTINCT op FROM answers)),
+    f AS (SELECT op, node, row_number() OVER (PARTITION BY op ORDER BY node) AS turn FROM answers WHERE NOT ok),
+    kept AS (SELECT f.op, coalesce(CASE WHEN turn = 1 THEN s.node END, 'n0') AS node, f.node AS owner_node FROM f LEFT JOIN support s USING (op))"""
+
+
+def _support(answers):
+    return answers.select("op").distinct().select("op", F.concat(F.lit("n"), ((F.col("op") + 2) % 4).cast("string")).alias("node"))
+
+
+@query(f"WITH {LOG}, {REPLICAS}, {_ANSWERS}, {_SUPPORT} SELECT op, node, 'normal' AS source, node AS owner_node FROM answers WHERE ok UNION ALL SELECT op, node, 'alien', owner_node FROM kept")
+def put_plan(spark, d):
+    answers = _answers(spark, d)
+    return requests.put_plan(answers, _support(answers), "n0")
+
+
+_DELETES = f"""{_ANSWERS}, {_SUPPORT}, used AS (SELECT op, node FROM answers UNION SELECT op, node FROM kept UNION SELECT op, 'n0' FROM answers),
+    plan AS (SELECT op, node, NULL AS owner_node, true AS forced FROM answers WHERE ok UNION ALL SELECT op, node, owner_node, true FROM kept
+    UNION ALL SELECT a.op, n.name, a.node, false FROM answers a CROSS JOIN nodes n WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.op = a.op AND u.node = n.name))"""
+
+
+def _delete_plan(spark, d):
+    answers = _answers(spark, d)
+    return requests.delete_plan(answers, _support(answers), inputs.nodes(spark), "n0")
+
+
+@query(f"WITH {LOG}, {REPLICAS}, {NODES}, {_DELETES} SELECT op, node, owner_node, forced FROM plan")
+def delete_plan(spark, d):
+    return _delete_plan(spark, d)
+
+
+@query(f"""WITH {LOG}, {REPLICAS}, {NODES}, {_DELETES} SELECT op, count(*) FILTER (owner_node IS NULL) AS plain, count(*) FILTER (owner_node IS NOT NULL AND forced) AS forced, count(*) FILTER (NOT forced) AS asked,
+    CASE WHEN bool_or(owner_node IS NOT NULL AND forced AND node = 'n0') AND op % 3 = 0 THEN 'failed' ELSE 'ok' END AS status FROM plan GROUP BY op""")
+def delete_plan_outcome(spark, d):
+    return requests.delete_outcome(_delete_plan(spark, d), "n0", F.col("op") % 3 != 0)
+
+
+@query(f"WITH {LOG}, {REPLICAS}, {NODES}, {_ANSWERS} SELECT o.op, n.name AS node FROM (SELECT DISTINCT op FROM answers) o CROSS JOIN nodes n WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.op = o.op AND a.node = n.name)")
+def remaining_nodes(spark, d):
+    answers = _answers(spark, d)
+    return routing.remaining(answers.select("op").distinct(), inputs.nodes(spark), answers.select("op", "node"))
+
+
+@query(f"WITH {LOG}, {REPLICAS} SELECT seq, owner_node, vdisk_id FROM log l WHERE source = 'alien' AND EXISTS (SELECT 1 FROM replicas r WHERE r.node = l.owner_node AND r.vdisk_id = l.vdisk_id)")
+def alien_scan(spark, d):
+    return routing.hosted_aliens(_log(spark, d), inputs.replicas(spark)).select("seq", "owner_node", "vdisk_id")
+
+
+_OF = "vdisk_id = 3 AND CASE WHEN seq % 2 = 0 THEN {alien} ELSE source <> 'alien' AND {other} END"
+
+
+def _operation():
+    return {"alien": F.col("seq") % 2 == 0, "vdisk_id": F.lit(3), "node": F.when(F.col("seq") % 4 == 0, F.lit("n1")), "disk": F.lit("d1")}
+
+
+@query(f"WITH {LOG} SELECT seq, {_OF.format(alien="source = 'alien' AND (seq % 4 <> 0 OR owner_node = 'n1')", other="disk = 'd1'")} AS matches FROM log")
+def group_match(spark, d):
+    alien = F.col("source") == "alien"
+    return _log(spark, d).select("seq", partitions.group_matches(alien, F.col("vdisk_id"), F.col("owner_node"), F.col("disk"), _operation()).alias("matches"))
+
+
+@query(f"WITH {LOG} SELECT seq, CASE WHEN seq % 2 = 0 THEN source = 'alien' ELSE source <> 'alien' AND vdisk_id = 3 END AS matches FROM log")
+def controller_match(spark, d):
+    return _log(spark, d).select("seq", partitions.controller_matches(F.col("source") == "alien", F.col("vdisk_id") == 3, _operation()).alias("matches"))
+
+
+@query("SELECT n_name, n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey >= 12 DESC, n_nationkey) AS INT) AS turn FROM nation")
+def old_nodes_first(spark, d):
+    nodes = inputs.table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("idx"), "n_regionkey")
+    return routing.old_first(nodes, nodes.where("idx >= 12"), "n_regionkey").select(F.col("name").alias("n_name"), "n_regionkey", "turn")
+
+
+@query("""SELECT c_custkey, array_to_string([CASE WHEN regexp_full_match(x, '[0-9a-f]{2}') THEN x ELSE '00' END FOR x IN [lower(substr(t, 1, 2)), lower(substr(t, 3, 2)), lower(substr(t, 5, 2)), lower(substr(t, 7, 2))]], '') AS key
+    FROM (SELECT c_custkey, substr(c_name, 8, 1) || CAST(c_custkey AS VARCHAR) || 'Ab' AS t FROM customer)""")
+def key_lenient(spark, d):
+    text = F.concat(F.substring("c_name", 8, 1), F.col("c_custkey").cast("string"), F.lit("Ab"))
+    return inputs.table(spark, d, "customer").select("c_custkey", keys.lenient(text, 4).alias("key"))
+
+
+# State of the backend
+
+
+@query("SELECT CAST(coalesce(sum(s_suppkey % 4) FILTER (s_nationkey % 3 <> 0), 0) AS BIGINT) AS corrupted FROM supplier")
+def corrupted_blobs(spark, d):
+    return metadata.corrupted(inputs.table(spark, d, "supplier").select((F.col("s_nationkey") % 3 == 0).alias("is_alien"), (F.col("s_suppkey") % 4).alias("corrupted")))
+
+
+@query(f"WITH {LOG}, {_PARTS} SELECT vdisk_id AS disk, CAST(sum(records * 24) AS BIGINT) AS index_memory, CAST(sum(records // 8) AS BIGINT) AS filter_memory FROM p GROUP BY vdisk_id")
+def index_and_filter_memory(spark, d):
+    parts = metadata.per_partition(_log(spark, d), _day())
+    return metadata.memory(parts.select(F.col("vdisk_id").alias("disk"), (F.col("records") * 24).alias("index_bytes"), F.expr("records div 8").alias("filter_bytes")))
+
+
+@query("SELECT count(*) AS disks, count(*) FILTER (s_suppkey % 5 < 3) AS active FROM supplier")
+def active_disks(spark, d):
+    return metadata.active_disks(inputs.table(spark, d, "supplier").select(F.col("s_suppkey").alias("disk"), F.when(F.col("s_suppkey") % 5 < 3, "Ready").otherwise("NotReady").alias("state")))
+
+
+@query(f"WITH {LOG}, {REPLICAS}, {_ANSWERS} SELECT op AS round, count(*) FILTER (ok) AS available FROM answers GROUP BY op")
+def nodes_available(spark, d):
+    return metadata.nodes_available(_answers(spark, d).withColumnRenamed("op", "round"))
+
+
+@query(f"WITH {LOG}, {_LIVE}, {_WANTED} SELECT position // 1000 AS packet, count(*) AS asked, count(l.key) AS present FROM wanted w LEFT JOIN live l ON l.key = w.key GROUP BY ALL")
+def present_keys(spark, d):
+    found = versions.exists(_wanted(spark, d), _log(spark, d))
+    return metadata.present(found.select(F.expr("position div 1000").alias("packet"), "found"))
+
+
+@query("""SELECT l || '.' || o || '_' || w AS name, CASE w WHEN 'timer' THEN 'timer' ELSE 'counter' END AS kind FROM unnest(['cluster_grinder', 'client']) a(l), unnest(['put', 'get', 'exist', 'delete']) b(o), unnest(['count', 'error_count', 'timer']) c(w)
+    UNION ALL SELECT l || '.exist_' || w, 'counter' FROM unnest(['cluster_grinder', 'client']) a(l), unnest(['keys_count', 'error_keys_count']) c(w)
+    UNION ALL SELECT g, 'gauge' FROM unnest([%s]) g(g)""" % ", ".join(f"'{g}'" for g in metrics.GAUGES))
+def metric_catalogue(spark, d):
+    return metrics.catalogue(spark)
+
+
+@query("""SELECT 'duplicate user' AS rule, CAST(c_nationkey AS VARCHAR) AS subject FROM customer WHERE c_custkey <= 30 GROUP BY c_nationkey HAVING count(*) > 1
+    UNION ALL SELECT 'not one of password and hash', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey <= 30 AND c_custkey % 4 IN (0, 3)
+    UNION ALL SELECT 'hash of wrong length', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey <= 30 AND c_custkey % 2 = 0 AND c_custkey % 6 <> 0
+    UNION ALL SELECT 'unknown role', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey <= 30 AND c_custkey % 5 > 2""")
+def user_violations(spark, d):
+    """Thirty users, a configuration; who has a password, a hash, or both, goes by the number."""
+    users = inputs.table(spark, d, "customer").where("c_custkey <= 30").select(
+        F.col("c_nationkey").alias("username"), F.when(F.col("c_custkey") % 4 < 2, "p").alias("password"), F.when(F.col("c_custkey") % 2 == 0, F.when(F.col("c_custkey") % 6 == 0, F.repeat(F.lit("a"), F.lit(128))).otherwise("short")).alias("password_hash"), F.concat(F.lit("role"), (F.col("c_custkey") % 5).cast("string")).alias("role")
+    )
+    return validation.user_violations(users, spark.range(3).select(F.concat(F.lit("role"), F.col("id").cast("string")).alias("role")))
+
+
+@query("""SELECT s_suppkey AS node, unnest(list_filter([CASE WHEN s_suppkey % 4 < 1 THEN 'no quorum' END, CASE WHEN s_suppkey % 4 > 2 THEN 'quorum above replicas' END, CASE WHEN s_suppkey % 7 = 0 THEN 'no timeout' END,
+    CASE WHEN s_suppkey % 9 = 0 THEN 'no interval' END, CASE WHEN s_suppkey % 5 > 1 THEN 'unknown policy' END], lambda x: x IS NOT NULL)) AS rule FROM supplier""")
+def node_violations(spark, d):
+    n = F.col("s_suppkey")
+    policy = F.element_at(F.array(F.lit("quorum"), F.lit("simple"), F.lit("other"), F.lit(None), F.lit("")), (n % 5 + 1).cast("int"))
+    return validation.node_violations(inputs.table(spark, d, "supplier").select(n.alias("node"), (n % 4).alias("quorum"), F.lit(2).alias("replicas"), (n % 7).alias("timeout_ms"), (n % 9).alias("check_interval_ms"), F.lit(5).alias("count_interval_ms"), policy.alias("policy")))
+
+
 # On a stream, in files, and on the driver: no SQL
 
 
 @query(f"WITH {LOG}, v AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS rn FROM log) SELECT key, ts, seq, is_tombstone, payload FROM v WHERE rn = 1")
 def stream_latest(spark, d):
     """The newest versions again, kept by a stream over the same table."""
-    from keyloom.llm import shared
+    from keyloom.sources import shared
     from keyloom.streaming import state
 
     schema = _events(spark, d).schema

@@ -41,3 +41,30 @@ def read_keyed_files(spark: SparkSession, pattern: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     key = F.substring(name, F.lit(len(head) + 1), F.length(name) - len(head) - len(tail))
     return files.where(key.rlike("^[0-9]+$")).select(key.cast("long").alias("key"), F.col("content").alias("payload"))
+
+
+def write_keyed_files(blobs: DataFrame, pattern: str) -> None:
+    """blobs: key, payload. Writes each payload to the file of its key; the pattern holds {key},
+    and its folder is one that all executors share."""
+    if pattern.count("{key}") != 1:
+        raise ValueError("the pattern needs one {key}")
+
+    def write(rows) -> None:  # noqa: ANN001
+        from pyarrow import fs
+
+        for row in rows:
+            at, path = fs.FileSystem.from_uri(pattern.replace("{key}", str(row.key)))
+            with at.open_output_stream(path) as out:
+                out.write(bytes(row.payload))
+
+    blobs.select("key", "payload").foreachPartition(write)
+
+
+def folders(files: DataFrame, root: str) -> DataFrame:
+    """files: path. Every folder on the way from root to a file: path, name, parent; files
+    themselves are left out."""
+    steps = F.slice(F.split(F.expr(f"substring(path, locate('{root}', path) + {len(root.rstrip('/'))})"), "/"), 2, 1 << 30)
+    names = files.where(F.contains("path", F.lit(root))).select(steps.alias("s"))
+    depth = names.where("size(s) > 1").select("s", F.explode(F.sequence(F.lit(1), F.size("s") - 1)).alias("n"))
+    join = lambda n: F.concat_ws("/", F.lit(root.rstrip("/")), F.slice("s", 1, n))
+    return depth.select(join(F.col("n")).alias("path"), F.get("s", F.col("n") - 1).alias("name"), join(F.col("n") - 1).alias("parent")).distinct()

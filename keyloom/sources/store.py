@@ -29,7 +29,21 @@ class Store:
 
     def partitions(self) -> DataFrame:
         """The partitions there are, by start: from the folders' names alone."""
-        return self.read().select(*LAYOUT).distinct().orderBy(*LAYOUT)
+        rows = [(source, int(vdisk), int(start)) for source, vdisk, start in self._folders()]
+        return self.spark.createDataFrame(sorted(rows), "source string, vdisk_id long, start_ts long")
+
+    def _folders(self) -> list[tuple[str, ...]]:
+        """The values in the names of all partitions' folders; a listing, a row for each."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/live/source=*/vdisk_id=*/start_ts=*")
+        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at) or []
+        return [tuple(part.partition("=")[2] for part in str(f.getPath().toString()).split("/")[-3:]) for f in found]
+
+    def detach_all(self, source: str = "alien") -> int:
+        """Detaches all partitions of a source; their files stay. Returns how many."""
+        found = [(int(vdisk), int(start)) for of, vdisk, start in self._folders() if of == source]
+        for vdisk, start in found:
+            self.detach(vdisk, start, source)
+        return len(found)
 
     def _move(self, vdisk: int, start: int, source: str, back: bool) -> None:
         here, there = (f"{self.path}/{top}/source={source}/vdisk_id={vdisk}/start_ts={start}" for top in (("detached", "live") if back else ("live", "detached")))

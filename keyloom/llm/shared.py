@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keyloom.sources.shared import new_path
+
 #: ASCII white space, as Java and DuckDB regular expressions and bytes.split() see it.
 SPACE = r"[\x20\x09-\x0D]"
 
-#: Folders of sessions on one machine that name none, by application.
-_OWN: dict[str, str] = {}
 #: Paths of the tables that ``keep`` has written and that nobody has removed.
 _KEPT: list[str] = []
 
@@ -22,25 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share, spark.checkpoint.dir. Where it is unset, a session on one
-    machine gets a folder of its own; on a cluster that is an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="keyloom-")
-    return _OWN[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
-
-
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: it is computed once, and a lost
     executor loses nothing of it."""

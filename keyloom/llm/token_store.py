@@ -71,6 +71,15 @@ def merkle(leaves: list[bytes]) -> bytes:
     return tree.root()
 
 
+def _scrambled() -> np.ndarray:
+    h = (np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
+
+
+#: The scrambled value of each 16-bit id.
+_SCRAMBLED = _scrambled()
+#: Bytes that the memo of units may take here.
+MEMO_BYTES = 128_000_000
 #: Ids that the rolling hash spans.
 WINDOW = 32
 
@@ -79,11 +88,9 @@ def rolling(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """At each id of documents that stand one after another, a hash of it and of the 31 before it
     in its document: the sum of their scrambled values, each shifted by its distance, built by
     doubling. Zeros between the documents part them."""
-    h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
     at = np.arange(len(ids)) + WINDOW * np.repeat(np.arange(len(sizes)), sizes)
     spread = np.zeros(len(ids) + WINDOW * len(sizes), np.uint32)
-    spread[at] = h
+    spread[at] = _SCRAMBLED[ids]
     for step in (1, 2, 4, 8, 16):
         spread[step:] = spread[step:] + (spread[:-step] << np.uint32(step))
     return spread[at]
@@ -118,7 +125,7 @@ def entries(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer, False).encode
+        encode = tokens.encoder(tokenizer, False, MEMO_BYTES).encode
         task, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()

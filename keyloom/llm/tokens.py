@@ -27,7 +27,7 @@ _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?%*#$&|"
 _WORD = f"[{_LETTERS}]+(?=[\\s{_SIGNS}]|\\Z)|[{_SIGNS}]+(?=\\s|\\Z)"
 #: With the space before a word, or white space less the one that goes with the next word.
 _SPACED = re.compile(rf" ?(?:{_WORD}|\S+)|\s+(?!\S)|\s")
-_BARE = re.compile(rf"{_WORD}|\S+").findall
+_BARE = re.compile(rf"{_WORD}|\S+")
 _PLAIN = re.compile(f" ?[{_LETTERS}]+").fullmatch
 
 
@@ -70,13 +70,14 @@ class UnitEncoder:
     white space is dropped and letters are lower-cased (word BPE).
     """
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaces, self.units = spaces, _SPACED.findall if spaces else str.split
+        self.memo_bytes = memo_bytes
+        self.spaces, self.units = spaces, (_SPACED if spaces else _BARE).findall
         self.memo = _Memo(self._unit)
 
     def _whole(self, text: str) -> list[int]:
@@ -84,8 +85,7 @@ class UnitEncoder:
 
     def _unit(self, unit: str) -> list[int]:
         if not _PLAIN(unit):
-            parts = [unit] if self.spaces else _BARE(unit)
-            return self._whole(unit) if len(parts) == 1 else array("H", b"".join([self.memo[part] for part in parts]))
+            return self._whole(unit)
         unit = unit if self.spaces else unit.lower()
         unit = unit.replace(" ", _BYTES[32]) if unit.isascii() else unit.encode().decode("latin-1").translate(_BYTES)
         return [t.id for t in self.model.tokenize(unit)]
@@ -95,7 +95,7 @@ class UnitEncoder:
             return array("H", self._whole(text)).tobytes()
         if not self.spaces and _latin(text):
             text = text.lower()  # so that units with capitals and without are the same
-        if self.memo.held > MEMO_BYTES:
+        if self.memo.held > self.memo_bytes:
             self.memo = _Memo(self._unit)
         memo = self.memo
         return b"".join([memo[unit] for unit in self.units(text)])  # faster than map with a class of its own
@@ -107,9 +107,9 @@ class UnitEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, spaces: bool) -> UnitEncoder:
+def encoder(path: str, spaces: bool, memo_bytes: int = MEMO_BYTES) -> UnitEncoder:
     """The worker's encoder of this file."""
-    return UnitEncoder(path, spaces)
+    return UnitEncoder(path, spaces, memo_bytes)
 
 
 def slices(texts: list[str], chars: int = 500_000):

@@ -81,7 +81,7 @@ def read(files: list[bytes]) -> list[tuple[bytes, list[np.ndarray]]]:
 
 def feature(tensors: list[np.ndarray]) -> str:
     """Frames, sum of each colour over all pixels, and a CRC-32 of the tensors."""
-    sums = sum(t.reshape(-1, 3).sum(0, dtype=np.int64) for t in tensors)
+    sums = sum(t.reshape(len(t), -1).sum(0, dtype=np.int64).reshape(-1, 3).sum(0) for t in tensors)
     crc = 0
     for t in tensors:
         crc = zlib.crc32(np.ascontiguousarray(t), crc)
@@ -102,7 +102,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             texts = batch.column(1).fill_null("").to_pylist()
             held = [payload(t) for t in texts]
             for a, b in _groups(held, BATCH_BYTES):
-                n = [len(t.encode("utf-8", "surrogatepass")) for t in texts[a:b]]
+                n = [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(store(held[a:b]), pa.binary())], names=schema.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
@@ -137,4 +137,4 @@ def read_back(media: DataFrame, with_media: bool = True) -> DataFrame:
 def media_columns(docs: DataFrame, with_media: bool = True, **cols: str) -> DataFrame:
     """The media columns of docs, written to the shared folder, and what they hold when read
     back; see ``stored`` and ``read_back``."""
-    return read_back(shared.keep(stored(docs, **cols), "media"), with_media)
+    return read_back(shared.keep(stored(docs, **cols), "media", compression="zstd"), with_media)

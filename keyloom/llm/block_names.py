@@ -38,8 +38,9 @@ def _named(values: DataFrame, *cols: str) -> DataFrame:
 
 
 def identities(rows: DataFrame, block_bytes: int = BLOCK_BYTES, hashes: Callable[[Column], tuple[Column, Column]] = two_hashes) -> DataFrame:
-    """rows: doc_id, version, body (binary). Returns doc_id, version, n_blocks, name."""
-    cut = rows.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.octet_length("body") / block_bytes)).cast("int")).select(
+    """rows: doc_id, version, body (binary) and its number of blocks, n_blocks; they are read several
+    times. Returns doc_id, version, n_blocks, name."""
+    cut = rows.select(
         "doc_id", "version", "n_blocks", "body", F.posexplode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("at", "_")
     )
     cut = cut.withColumn("block", F.substring("body", F.col("at") * block_bytes + 1, F.lit(block_bytes)))
@@ -53,8 +54,8 @@ def identities(rows: DataFrame, block_bytes: int = BLOCK_BYTES, hashes: Callable
         level = places.join(contents, "block")
     level = level.select("doc_id", "version", "n_blocks", F.col("n_blocks").alias("left"), "at", "name")
 
-    most = rows.select(F.max(F.octet_length("body"))).first()[0] or 0
-    done, blocks = [level.where("left = 1")], -(-most // block_bytes)
+    blocks = rows.select(F.max("n_blocks")).first()[0] or 0
+    done = [level.where("left = 1")]
     while blocks > 1:
         pairs = shared.keep(
             level.where("left > 1")
@@ -79,9 +80,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in group_size; those with the doc_id that stays are all kept. A null doc_id never stays
     unless no other row has the text. An empty table gives no rows; other columns are left out.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).select("doc_id", F.xxhash64("norm").alias("version"), F.col("norm").cast("binary").alias("body"))
+    body = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).cast("binary").alias("body"))
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / block_bytes)).cast("int")
+    # Written, so that texts are normalised once and each use reads only the columns it needs.
+    rows = shared.keep(body.select("doc_id", F.xxhash64("body").alias("version"), n_blocks.alias("n_blocks"), F.sha2("body", 256).alias("text_sha256"), "body"), "normalised")
     named = identities(rows, block_bytes, hashes).distinct()
-    every = rows.select("doc_id", "version", F.sha2("body", 256).alias("text_sha256")).alias("r")
+    every = rows.select("doc_id", "version", "text_sha256").alias("r")
     every = shared.keep(
         every.join(named.alias("n"), F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.version") == F.col("n.version"))).select("r.doc_id", "text_sha256", "n_blocks", "name"),
         "identities",

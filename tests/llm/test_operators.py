@@ -40,6 +40,15 @@ def test_exact_groups(spark, docs, none):
     assert block_names.exact_groups(none).count() == 0
 
 
+def test_exact_groups_of_long_texts_beside_columns_of_the_same_names(spark):
+    long = "".join(random.Random(1).choices("abc \n", k=300_000))
+    texts = [long, long.replace(" ", "\t"), long + "x", long[:-1] + "y", None]
+    names = ("version", "n_blocks", "body", "name", "keep_id", "kept", "group_size", "text_sha256", "at", "left")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({n: F.lit(7) for n in names})
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in block_names.exact_groups(rows).collect()}
+    assert got == {0: (0, 2, True), 1: (0, 2, False), 2: (2, 1, True), 3: (3, 1, True), 4: (4, 1, True)}
+
+
 def test_exact_groups_when_hashes_collide(docs):
     weak = lambda b: (F.octet_length(b) % 2, F.lit(0))
     a, b = (sorted(map(str, block_names.exact_groups(docs, block_bytes=8, **h).collect())) for h in ({}, {"hashes": weak}))
